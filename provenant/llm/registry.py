@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontaminate, mixing, neardup, quality
 
-MODULES = [quality]
+MODULES = [decontaminate, mixing, neardup, quality]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
