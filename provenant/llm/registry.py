@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, neardup, quality
+from . import decontaminate, language, mixing, neardup, pii, quality, substring, tokens, urls, warc
 
-MODULES = [decontaminate, mixing, neardup, quality]
+MODULES = [decontaminate, language, mixing, neardup, pii, quality, substring, tokens, urls, warc]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
