@@ -1,0 +1 @@
+"""provenant: PySpark-native analytics whose numbers carry their evidence."""
