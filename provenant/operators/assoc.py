@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.columns import col, ratio
 
-EVERYTHING = Window.partitionBy()
+
+def everything():
+    """A window over all rows; only for tables of groups."""
+    return Window.partitionBy()
 
 
 def wilson_bounds(x: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -23,7 +26,7 @@ def wilson_bounds(x: Column, n: Column, z: float = 1.959963984540054) -> tuple[C
 def group_rates(df: DataFrame, level: str, target: str) -> DataFrame:
     """level, n, x, rate, ci_low, ci_high, lift, gap_pp. Null is a level of its own; rows without an outcome are left out."""
     rows = df.filter(col(target).isNotNull()).groupBy(col(level).cast("string").alias("level")).agg(F.count("*").alias("n"), F.sum(col(target).cast("bigint")).alias("x"))
-    base = F.sum("x").over(EVERYTHING) / F.sum("n").over(EVERYTHING)
+    base = F.sum("x").over(everything()) / F.sum("n").over(everything())
     low, high = wilson_bounds(F.col("x"), F.col("n"))
     rate = ratio(F.col("x"), F.col("n"))
     return rows.select("level", "n", "x", rate.alias("rate"), low.alias("ci_low"), high.alias("ci_high"), ratio(rate, base).alias("lift"), ((rate - base) * 100).alias("gap_pp"))
@@ -32,7 +35,7 @@ def group_rates(df: DataFrame, level: str, target: str) -> DataFrame:
 def chi_square(df: DataFrame, level: str, target: str) -> DataFrame:
     """One row: n, levels, statistic, df, cramers_v and whether an expected count is below 5. Null levels count."""
     rows = df.filter(col(target).isNotNull()).groupBy(col(level).alias("level")).agg(F.count("*").alias("n"), F.sum(col(target).cast("bigint")).alias("x"))
-    share = F.sum("x").over(EVERYTHING) / F.sum("n").over(EVERYTHING)
+    share = F.sum("x").over(everything()) / F.sum("n").over(everything())
     e1, e0 = F.col("n") * share, F.col("n") * (1 - share)
     part = F.try_divide((F.col("x") - e1) ** 2, e1) + F.try_divide((F.col("n") - F.col("x") - e0) ** 2, e0)
     out = rows.select("n", part.alias("part"), F.least(e1, e0).alias("expected")).agg(F.sum("n").alias("n"), F.count("*").alias("levels"), F.sum("part").alias("statistic"), (F.min("expected") < 5).alias("small_expected"))

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio
 
-EVERYTHING = Window.partitionBy()
+
+def everything():
+    """A window over all rows; only for tables of groups."""
+    return Window.partitionBy()
 
 
 def two_periods(df: DataFrame, dim: str, period: str, p1: object, p2: object, values: list[str]) -> DataFrame:
@@ -27,7 +30,7 @@ def decompose_margin(df: DataFrame, dim: str, period: str, p1: object, p2: objec
     whole margin; a segment without revenue in a period has margin 0 there; no revenue at all in a period raises."""
     both = two_periods(df, dim, period, p1, p2, [revenue, cogs])
     r1, r2, c1, c2 = (col(f"{v}_{i}") for v in (revenue, cogs) for i in (1, 2))
-    whole = lambda r: F.sum(r).over(EVERYTHING)
+    whole = lambda r: F.sum(r).over(everything())
     checked = lambda r, p: F.when(whole(r) != 0, r / whole(r)).otherwise(F.raise_error(F.lit(f"no revenue in period {p}")).cast("double"))
     margin = lambda r, c: F.coalesce(ratio(r - c, r), F.lit(0.0))
     rows = both.select("segment", checked(r1, p1).alias("share_1"), checked(r2, p2).alias("share_2"), margin(r1, c1).alias("margin_1"), margin(r2, c2).alias("margin_2"))
@@ -49,7 +52,7 @@ def additive_contribution(df: DataFrame, dim: str, period: str, p1: object, p2:
     """segment, value_1, value_2, delta and its share of the whole change (null when nothing changed)."""
     both = two_periods(df, dim, period, p1, p2, [value]).select("segment", col(f"{value}_1").alias("value_1"), col(f"{value}_2").alias("value_2"))
     both = both.withColumn("delta", F.col("value_2") - F.col("value_1"))
-    return both.withColumn("contribution", ratio(F.col("delta"), F.sum("delta").over(EVERYTHING)))
+    return both.withColumn("contribution", ratio(F.col("delta"), F.sum("delta").over(everything())))
 
 
 def simpsons_check(df: DataFrame, dim: str, period: str, p1: object, p2: object, top: str, bottom: str) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ...functions.columns import col, ratio
 
-EVERYTHING = Window.partitionBy()
+
+def everything():
+    """A window over all rows; only for tables of groups."""
+    return Window.partitionBy()
 
 
 def by_score(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -54,7 +57,7 @@ def calibration(df: DataFrame, y: str, score: str, tie: list[str], k: int = 10)
     rows = df.filter(col(y).isNotNull() & col(score).isNotNull()).select(col(score).cast("double").alias("s"), col(y).cast("bigint").alias("y"), *[col(t).alias(f"t{i}") for i, t in enumerate(tie)])
     counts = rows.groupBy("s").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(EVERYTHING)
+    total = F.sum("n").over(everything())
     size = F.greatest(F.lit(1), F.floor(total / k))
     place = lambda rank: F.least(F.floor(rank / F.col("size")), F.lit(k - 1)).cast("int")
     edges = counts.select("s", "n", before.alias("before"), size.alias("size")).select("s", "before", "size", place(F.col("before")).alias("first"), place(F.col("before") + F.col("n") - 1).alias("last"))
@@ -75,5 +78,5 @@ def ks_statistic(df: DataFrame, y: str, score: str) -> DataFrame:
     scores = by_score(df, y, score)
     upto = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     neg = F.col("n") - F.col("x")
-    gap = F.abs(ratio(F.sum("x").over(upto), F.sum("x").over(EVERYTHING)) - ratio(F.sum(neg).over(upto), F.sum(neg).over(EVERYTHING)))
+    gap = F.abs(ratio(F.sum("x").over(upto), F.sum("x").over(everything())) - ratio(F.sum(neg).over(upto), F.sum(neg).over(everything())))
     return scores.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))

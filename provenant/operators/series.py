@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, ratio
 
-EVERYTHING = Window.partitionBy()
+
+def everything():
+    """A window over all rows; only for tables of groups."""
+    return Window.partitionBy()
 
 
 def to_series(points: DataFrame, order: str, value: str) -> DataFrame:
@@ -27,15 +30,15 @@ def fit_trend(series: DataFrame) -> DataFrame:
 
 def residuals(series: DataFrame) -> DataFrame:
     """t, y, fitted, residual from the trend over the whole series."""
-    slope, mean_t, mean_y = F.coalesce(F.regr_slope("y", "t").over(EVERYTHING), F.lit(0.0)), F.avg("t").over(EVERYTHING), F.avg("y").over(EVERYTHING)
+    slope, mean_t, mean_y = F.coalesce(F.regr_slope("y", "t").over(everything()), F.lit(0.0)), F.avg("t").over(everything()), F.avg("y").over(everything())
     fitted = mean_y + slope * (F.col("t") - mean_t)
     return series.select("t", "y", fitted.alias("fitted")).withColumn("residual", F.col("y") - F.col("fitted"))
 
 
 def anomalies(series: DataFrame, z: float = 3.5) -> DataFrame:
     """t, y, score: points whose residual lies more than z scaled median deviations from the median residual."""
-    rows = residuals(series).withColumn("m", F.percentile("residual", 0.5).over(EVERYTHING))
-    rows = rows.withColumn("mad", F.percentile(F.abs(F.col("residual") - F.col("m")), 0.5).over(EVERYTHING))
+    rows = residuals(series).withColumn("m", F.percentile("residual", 0.5).over(everything()))
+    rows = rows.withColumn("mad", F.percentile(F.abs(F.col("residual") - F.col("m")), 0.5).over(everything()))
     score = ratio(F.abs(F.col("residual") - F.col("m")), F.col("mad") * 1.4826)
     return rows.withColumn("score", score).filter(F.col("score") > z).select("t", "y", "score")
 
@@ -48,7 +51,7 @@ def seasonal_profile(series: DataFrame, period: int) -> DataFrame:
 def deseasonalise(series: DataFrame, period: int) -> DataFrame:
     """t, y, adjusted, seasonal; by classical decomposition, which is not STL. Below two periods nothing is adjusted."""
     by_phase = Window.partitionBy(F.col("t") % period)
-    enough = F.count("*").over(EVERYTHING) >= 2 * period
+    enough = F.count("*").over(everything()) >= 2 * period
     rows = residuals(series).withColumn("seasonal", F.when(enough, F.avg("residual").over(by_phase)).otherwise(F.lit(0.0)))
     return rows.select("t", "y", (F.col("y") - F.col("seasonal")).alias("adjusted"), "seasonal", "residual")
 
