@@ -476,10 +476,10 @@ def forecast_linear(read) -> DataFrame:
     return rounded(series.forecast(_daily(read), 5), 4)
 
 
-@query("SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+@query("SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 8) AS mean FROM events GROUP BY 1, 2")
 def windowed_rates(read) -> DataFrame:
     """The batch form of the stream of windowed rates."""
-    return rounded(rates.windowed_rates(read("events")), 4).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return rounded(rates.windowed_rates(read("events")), 4, mean=8).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # ------------------------------------------------------------ scores

@@ -75,7 +75,7 @@ def stratified_split(df: DataFrame, y: str, key: str, fraction: float = 0.25, se
     before = F.coalesce(F.sum("_n").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     want = F.floor(F.sum("_n").over(by) * fraction + 0.5)
     edge = counts.select("_y", "_p", (want - before).alias("_left"), "_n")
-    joined = keyed.withColumn("_p", prefix).join(edge, col(y).eqNullSafe(F.col("_y")) & (F.col("_p") == edge["_p"])).drop(edge["_p"])
+    joined = keyed.withColumn("_q", prefix).join(edge, col(y).eqNullSafe(F.col("_y")) & (F.col("_q") == F.col("_p"))).drop("_q")
     whole = joined.filter("_left <= 0 OR _left >= _n").withColumn("is_test", F.col("_left") >= F.col("_n"))
     cut = joined.filter("_left > 0 AND _left < _n").withColumn("is_test", F.row_number().over(Window.partitionBy("_y", "_p").orderBy("_h")) <= F.col("_left"))
     return whole.unionByName(cut).drop("_h", "_p", "_y", "_left", "_n")

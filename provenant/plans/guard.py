@@ -105,9 +105,10 @@ class Budget:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimiser's size of what the scans of a plan read."""
+    """The optimiser's size of what the scans of a plan read; a scan without statistics counts as 0."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total, it = 0, leaves.iterator()
     while it.hasNext():
-        total += int(it.next().stats().sizeInBytes().toString())
+        size = int(str(it.next().stats().sizeInBytes()))
+        total += size if size < 1 << 60 else 0
     return total

@@ -56,8 +56,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     encoding = _encoding(spark, path)
     if encoding != "UTF-8":
         warnings.warn(f"{path} is not UTF-8; read as {encoding}", stacklevel=2)
-    reader = spark.read.options(header=True, sep="\t" if path.lower().endswith((".tsv", ".tab")) else ",", encoding=encoding, **options)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    reader = spark.read.options(header=True, sep="\t" if path.lower().endswith((".tsv", ".tab")) else ",", encoding="UTF-8" if encoding == "UTF-8" else "ISO-8859-1", **options)
+    df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    return _windows(df) if encoding == "windows-1252" else df
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    """Text read as latin-1 as windows-1252: the two differ in 27 of the characters from 0x80 to 0x9f."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    here, there = ("".join(x) for x in zip(*[p for p in pairs if p[1]]))
+    table = str.maketrans(here, there)
+    return df.select(*[(F.translate(col(f.name), here, there) if isinstance(f.dataType, T.StringType) else col(f.name)).alias(f.name.translate(table)) for f in df.schema])
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:

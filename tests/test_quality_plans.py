@@ -153,7 +153,7 @@ def test_binding(spark):
     b = semantic.bind(found, list(playbooks.Descriptive.needs), "churn")
     assert b.roles == {"target": ["Churn"], "entity": ["CustomerID"]} and b.ok
     numeric, categorical, _ = semantic.split_features(found, {"Churn", "CustomerID"})
-    assert numeric == ["Payment Delay", "Tenure"] and categorical == ["Gender"]
+    assert numeric == ["Payment Delay", "Tenure"] and categorical == ["Contract Length", "Gender"]
     bad = semantic.bind(found, list(playbooks.Descriptive.needs), "churn", {"target": "nope"})
     assert not bad.ok and "Fix:" in bad.block_message()
 
