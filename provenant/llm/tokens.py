@@ -9,8 +9,9 @@ are dealt to shards by range. A shard is one file:
 Elias-Fano keeps n increasing values below u in about n * (2 + log2(u / n)) bits: low bits packed, high bits in unary,
 and the position of every 256th one in 32 bits, so ``select`` reads a few words and no table of 64-bit offsets exists.
 
-Words between ASCII white space are encoded one by one and remembered up to a bound: this tokenizer's normaliser and
-pre-tokeniser never reach across white space, so the ids are those of the whole text (tested against it).
+Words between ASCII white space are encoded apart from one another, once per word form, and remembered up to a bound:
+this tokenizer's normaliser and pre-tokeniser never reach across white space, nor from an ASCII letter into the marks that
+end a word, so the ids are those of the whole text (tested against it).
 
 A task writes its shard under a name of its own and renames it, with the same bytes whenever it runs again, so a lost
 executor costs a rerun and leaves no half file behind. Files go to the shared folder through pyarrow's file systems.
@@ -26,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,8 @@ class Params:
     path: str | None = None
     end_id: int = 2
     shards: int | None = None
-    types_kept: int = 150_000
+    types_kept: int = 400_000
+    chars_at_once: int = 1_500_000
     width: int = 2
 
     def file(self) -> str:
@@ -116,28 +119,97 @@ class EliasFano:
         return cls(n, low_bits, raw[:a], raw[a:a + b], np.frombuffer(data, "<u4", offset=32 + a + b))
 
 
-class Encoder(dict):
-    """Words (bytes) to their ids (little-endian bytes of the file's width)."""
+#: ASCII marks that end a word: after an ASCII letter or digit the pre-tokeniser cuts before a run of them.
+_MARKS = b'.,!?;:"%*$&#()[]{}-+=/@~^_`'
+_BEFORE = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+class Encoder:
+    """Words (bytes) to their ids (little-endian bytes of the file's width).
+
+    Words met before are remembered in two generations of at most ``types_kept`` each: when the younger is full it becomes
+    the older, and what is used again moves back, so frequent words stay and memory is bounded."""
 
     def __init__(self, params: Params):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.params = Tokenizer.from_file(params.file()), params
+        self.model = Tokenizer(self.tokenizer.model)
+        size = self.tokenizer.get_vocab_size()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError("the vocabulary does not mark the ends of words")
+        self.ends_word = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)), bool, size)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.kind = f"<u{params.width}"
         self.end = np.array([params.end_id], self.kind).tobytes()
         if max(self.tokenizer.get_vocab_size(), params.end_id + 1) > 256**params.width:
             raise ValueError("the vocabulary needs a greater id width")
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-        if len(self) < self.params.types_kept:
-            self[word] = ids
-        return ids
+    def _plain(self, words: list[bytes]) -> Iterator[bytes]:
+        """Ids of words of a-z alone: already normalised and one pre-token each, so the model gets them as they are, many
+        to a call. Each word's last id, and no other, has the end-of-word suffix."""
+        for at in range(0, len(words), 5000):
+            ids = np.array(self.model.encode([w.decode() for w in words[at:at + 5000]], is_pretokenized=True, add_special_tokens=False).ids, self.kind)
+            raw, start = ids.tobytes(), 0
+            for end in ((np.flatnonzero(self.ends_word[ids]) + 1) * self.params.width).tolist():
+                yield raw[start:end]
+                start = end
+
+    def _other(self, words: list[bytes]) -> Iterator[bytes]:
+        for at in range(0, len(words), 5000):
+            for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[at:at + 5000]], add_special_tokens=False):
+                yield np.array(e.ids, self.kind).tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Makes the younger generation hold all these words.
+
+        A word is a core and the marks after it, in the lower case that the normaliser gives ASCII letters; the ids of the
+        two together are those of the word. What might hold a special token stays as it is."""
+        young, old = self.young, self.old
+        new = words.difference(young)
+        young.update([(w, old[w]) for w in new if w in old])
+        fresh = list(new.difference(young))
+        low = [w.lower() if b"<|" not in w else w for w in fresh]
+        cores = [x.rstrip(_MARKS) if b"<|" not in x else x for x in low]
+        cores = [c if c and c[-1] in _BEFORE else x for c, x in zip(cores, low)]
+        marks = [x[len(c):] for c, x in zip(cores, low)]
+        wanted = set(cores)
+        wanted.update(marks)
+        known = {c: young.get(c) or old.get(c) for c in wanted if c in young or c in old}
+        known[b""] = b""
+        wanted.difference_update(known)
+        plain = [c for c in wanted if c.isalpha()]  # of bytes: a-z alone, as all is lower case but special tokens
+        other = list(wanted.difference(plain))
+        known.update(zip(plain, self._plain(plain)))
+        known.update(zip(other, self._other(other)))
+        young.update((w, known[c] + known[m]) for w, c, m in zip(fresh, cores, marks))
+
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text and the end id."""
+        if len(self.young) > self.params.types_kept:
+            self.young, self.old = {}, self.young
+        split = [t.split() for t in texts]
+        self._learn(set(chain.from_iterable(split)))
+        found = self.young.__getitem__
+        return [b"".join(map(found, ws)) + self.end for ws in split]
 
     def encode(self, text: bytes) -> bytes:
-        """The ids of a text and the end id."""
-        return b"".join(map(self.__getitem__, text.split())) + self.end
+        return self.encode_many([text])[0]
+
+
+_ENCODERS: dict[Params, Encoder] = {}
+
+
+def encoder_of(params: Params) -> Encoder:
+    """The process's encoder: Spark reuses Python workers, so a worker's later tasks know the words of its earlier ones."""
+    if params not in _ENCODERS:
+        _ENCODERS[params] = Encoder(params)
+    return _ENCODERS[params]
 
 
 def _open(path: str):
@@ -146,6 +218,19 @@ def _open(path: str):
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+def _pieces(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    """Rows (id, text) in lists of about ``size`` bytes of text; a longer text is a list of its own."""
+    piece, held = [], 0
+    for doc_id, text in rows:
+        piece.append((doc_id, text or b""))
+        held += len(piece[-1][1])
+        if held >= size:
+            yield piece
+            piece, held = [], 0
+    if piece:
+        yield piece
+
+
 def _write_shard(rows: Iterator[tuple], path: str, params: Params, encoder: Encoder) -> tuple[int, int]:
     """Streams ids to a side file first, as the boundaries stand before them; returns (documents, tokens)."""
     fs, where = _open(path)
@@ -154,15 +239,16 @@ def _write_shard(rows: Iterator[tuple], path: str, params: Params, encoder: Enco
     body, whole = f"{where}.{mark}.ids", f"{where}.{mark}.tmp"
     doc_ids, ends, total, nulls = [], [], 0, 0
     with fs.open_output_stream(body) as out:
-        for doc_id, text in rows:
-            ids = encoder.encode(text or b"")
-            out.write(ids)
-            total += len(ids) // params.width
-            ends.append(total)
-            if doc_id is None:
-                nulls += 1
-            else:
-                doc_ids.append(doc_id)
+        for piece in _pieces(rows, params.chars_at_once):
+            coded = encoder.encode_many([text for _, text in piece])
+            out.write(b"".join(coded))
+            for (doc_id, _), ids in zip(piece, coded):
+                total += len(ids) // params.width
+                ends.append(total)
+                if doc_id is None:
+                    nulls += 1
+                else:
+                    doc_ids.append(doc_id)
     least = doc_ids[0] if doc_ids else 0
     end_part = EliasFano.encode(np.array(ends, np.uint64)).dump()
     id_part = EliasFano.encode((np.array(doc_ids, np.int64) - np.int64(least)).astype(np.uint64)).dump()
@@ -188,7 +274,7 @@ def write_shards(docs: DataFrame, folder: str, params: Params = Params(), text:
         if first is None:
             return
         path = f"{folder}/shard-{shard:06d}.tok"
-        n, tokens = _write_shard((r for part in ([first], rows) for r in part), path, params, Encoder(params))
+        n, tokens = _write_shard((r for part in ([first], rows) for r in part), path, params, encoder_of(params))
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([path]), pa.array([n]), pa.array([tokens])], names=["shard", "path", "documents", "tokens"])
 
     rows = docs.select(docs[id_column].cast("bigint").alias("_id"), docs[text].cast("string").alias("_text"))
