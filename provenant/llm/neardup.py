@@ -8,17 +8,19 @@ How links are found without expanding a group into its pairs:
 
 1. One Arrow pass makes a row (node, size, signature) per document. A node is a distinct set, so exact copies meet in
    one node; a task sends the signature of a node once, so a hot text costs a row per task and not one per copy.
-2. ``bands`` band keys per node; a bucket is a key with two or more nodes. Each node is paired with the smallest node of
-   each of its buckets, its hub: as many pairs as memberships, never a bucket's square.
+2. ``bands`` band keys per node; a bucket is a key with two or more nodes. Each node is paired with the hub of each of
+   its buckets, the member with the most neighbours over all its buckets, which in a family of variants is the text they
+   vary: as many pairs as memberships, never a bucket's square.
 3. Sequential Bayesian verification: signatures are compared in batches; after each batch a pair is dropped once the
    posterior (uniform prior) that its similarity reaches the threshold is below ``miss``.
 4. Survivors are verified on full texts, for each node the likeliest hub first; pairs already in one component need no
    verification, the others follow.
-5. Buckets whose nodes still lie in several components are settled by pairs across components, pruned and verified
-   alike. In a bucket of more than ``large`` nodes a pair must share a second bucket too.
+5. Buckets whose nodes still lie in several components are settled in blocks: a further sketch of ``fine`` bytes per node
+   is compared, by the same sequential test, for the pairs across components, in memory and within tasks that get two
+   blocks of a bucket each; only survivors become rows and are verified.
 
-A pair at the threshold shares no band with probability (1 - t^rows)^bands, 5e-6 with the defaults, and no second band
-in a large bucket with 8e-5; step 3 adds ``miss`` per batch. Nothing else is lost: no cap on buckets, partners or text.
+A pair at the threshold shares no band with probability (1 - t^rows)^bands, 5e-6 with the defaults; steps 3 and 5 add
+``miss`` per batch. Nothing else is lost: no cap on buckets, partners or text.
 
 Defined results: null and blank texts have an empty set and link with nothing; copies share a component; rows that repeat
 a doc_id are one document and stay together; a null doc_id is larger than any number; an empty table has no rows.
@@ -47,7 +49,8 @@ class Params:
     rows: int = 6
     batch: int = 48
     miss: float = 1e-5
-    large: int = 64
+    fine: int = 1024
+    block: int = 1024
     seed: int = 20240229
 
     @property
@@ -74,8 +77,8 @@ def shingles(text: bytes, size: int, words: dict) -> np.ndarray:
     n = max(1, len(h) - size + 1)
     out = np.full(n, min(len(h), size), np.uint64)
     for k in range(min(size, len(h))):
-        out = mix64(out * GOLDEN + h[k:k + n])
-    return np.unique(out)
+        out = out * GOLDEN + h[k:k + n]
+    return np.unique(mix64(out))
 
 
 def signature(shingle_set: np.ndarray, params: Params) -> bytes:
@@ -156,6 +159,84 @@ def _bayes(pairs: DataFrame, signatures: DataFrame, params: Params) -> DataFrame
     return joined.mapInArrow(work, "a bigint, b bigint, matches bigint")
 
 
+def _fine(texts: DataFrame, params: Params) -> DataFrame:
+    """(node, fine): four bytes of each band, then one byte of each of ``fine`` further hashes."""
+    def lanes(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng(seed)
+        flip = rng.integers(0, 2**32, n, np.uint32)
+        return flip, rng.integers(0, 2**31, n, np.uint32) * np.uint32(2) + np.uint32(1)
+
+    def sketch(s: np.ndarray, first: tuple, further: tuple) -> bytes:
+        own = np.frombuffer(_signature(s, *first), "<u4").reshape(params.bands, params.rows)
+        more = np.frombuffer(_signature(s, *further), "<u4")
+        bands = b"".join(xxhash.xxh32_digest(b.tobytes()) for b in own)
+        return bands + (more * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, first, further = _Words(), lanes(params.seed, params.hashes), lanes(params.seed + 1, params.fine)
+        for batch in batches:
+            for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                made = [sketch(shingles(t, params.shingle, words), first, further) for t in piece.column(1).cast(pa.large_binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(made, pa.binary())], names=["node", "fine"])
+
+    return texts.select("node", "text").mapInArrow(work, "node bigint, fine binary")
+
+
+def _crossing(unsettled: DataFrame, fine: DataFrame, params: Params) -> DataFrame:
+    """The pairs (a < b) of a bucket in different components that survive batches of the fine sketch, once each.
+
+    A bucket is dealt into blocks of about ``block`` nodes, and a task gets the nodes of two blocks, never a whole bucket.
+    Pairs are compared in memory, each in the bucket of the first band that its nodes share, and only survivors become
+    rows. At the threshold two bytes agree at least as often as the sets' hashes do, so the bounds hold."""
+    blocks = F.ceil(F.col("n") / params.block).cast("int")
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    rows = unsettled.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "node", "label").join(fine, "node")
+    sizes = [n for n in (32, 64, 128, 256, 512, 1024) if n < params.fine] + [params.fine]
+    bounds = [(n, least_matches(n, params.percent / 100, params.miss)) for n in sizes]
+
+    def compare(band: int, i: int, j: int, own: np.ndarray, node: np.ndarray, label: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bands, sketch = raw[:, : 4 * params.bands].copy().view("<u4"), raw[:, 4 * params.bands:]
+        left, right, first, second = np.flatnonzero(own == i), np.flatnonzero(own == j), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(left), 64):  # 64 * block * batch bytes at a time
+            part = left[at:at + 64]
+            x, y = np.nonzero(label[part][:, None] != label[right][None, :])
+            x, y, done, matches = part[x], right[y], 0, None
+            new = ~(bands[x, :band] == bands[y, :band]).any(1) & ((i != j) | (x < y))
+            x, y = x[new], y[new]
+            for n, least in bounds:
+                more = (sketch[x, done:n] == sketch[y, done:n]).sum(1)
+                matches = more if matches is None else matches + more
+                alive = matches >= least
+                x, y, matches, done = x[alive], y[alive], matches[alive], n
+            first.append(node[x])
+            second.append(node[y])
+        a, b = np.concatenate(first), np.concatenate(second)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            own, node, label, sketch = zip(*held)
+            a, b = compare(current[3], current[1], current[2], np.array(own), np.array(node), np.array(label), np.frombuffer(b"".join(sketch), np.uint8).reshape(len(held), -1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        current = None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] != current:
+                    if len(held) > 1:
+                        yield flush()
+                    held, current = [], row[:4]
+                held.append(row[4:])
+        if len(held) > 1:
+            yield flush()
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
+    return dealt.select("key", "i", "j", "band", "own", "node", "label", "fine").mapInArrow(work, "a bigint, b bigint").distinct()
+
+
 def _exact(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +269,16 @@ def find_groups(df: DataFrame, params: Params = Params(), text: str = "text", id
     spark = df.sparkSession
     tables = Tables(spark, "neardup")
     sketch = tables.put(_sketch(df, params, text, id_column))
-    key = F.explode(F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda j: F.xxhash64(F.expr("signature").substr(j * (4 * params.rows) + 1, F.lit(4 * params.rows)), j)))
-    member = sketch.where("signature is not null").select("node", key.alias("key"))
-    hubs = member.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
-    members = tables.put(member.join(hubs, "key").groupBy("key", "node").agg(F.min("hub").alias("hub")))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda j: F.xxhash64(F.expr("signature").substr(j * (4 * params.rows) + 1, F.lit(4 * params.rows)), j))
+    member = sketch.where("signature is not null").select("node", F.posexplode(keys).alias("band", "key"))
+    full = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    shared = tables.put(member.join(full, "key").select("key", "band", "node").distinct())
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
+    weight = shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("w"))
+    weighed = shared.join(weight, "node")
+    hubs = weighed.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    members = tables.put(shared.join(hubs, "key"))
+    tables.drop(shared)
     pairs = members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     candidates = members.select("node").distinct()
     signatures = tables.put(sketch.where("signature is not null").join(candidates.hint("shuffle_hash"), "node", "left_semi").select("node", "signature").dropDuplicates(["node"]))
@@ -211,18 +298,12 @@ def find_groups(df: DataFrame, params: Params = Params(), text: str = "text", id
     labels = components(found, tables)
 
     # buckets of three or more nodes in several components
-    several = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    several = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
     open_keys = several.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 and lo <> hi").select("key", "n")
     unsettled = tables.put(several.join(open_keys, "key"))
-    small = unsettled.where(F.col("n") <= params.large).select("key", "node", "label")
-    big = unsettled.where(F.col("n") > params.large).select("key", "node", "label")
-    other = members.select(F.col("key").alias("second"), "node")
-    refined = big.join(other, "node").where("second <> key").select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "node", "label").distinct()
-    fine = small.union(refined)
-    left, right = fine.toDF("key", "a", "la"), fine.toDF("key", "b", "lb")
-    tested = likely.select("a", "b").union(pairs)
-    crossing = left.join(right, "key").where("a < b and la <> lb").select("a", "b").distinct().join(tested.distinct(), ["a", "b"], "left_anti")
-    last = tables.put(_exact(_bayes(crossing, signatures, params), texts, params))
+    fine = tables.put(_fine(texts.join(unsettled.select("node").distinct(), "node", "left_semi"), params))
+    crossing = tables.put(_crossing(unsettled, fine, params).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
+    last = tables.put(_exact(crossing, texts, params))
     if last.isEmpty():
         final = labels
     else:
