@@ -13,8 +13,8 @@ item. Similarity is weighted Jaccard: shingles weigh as often as they occur, sum
    (item size, block, value), the items' side spread to all values that near, finds every pair within the radius.
 3. Those pairs are verified exactly. A hit is a similarity of ``similarity`` or more.
 
-Defined results: null and blank texts and items match nothing; a text that repeats under several rows has a hit for each
-of their doc_ids; ties between windows of a text go to the first; an empty table of either kind gives no hits.
+Defined results: null and blank texts and items match nothing; rows equal in doc_id and text give one hit per item;
+ties between windows of a text go to the first; a doc_id with several texts may have several hits of an item; an empty table of either kind gives no hits.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import Tables, table, words
 
 
 @dataclass(frozen=True)
@@ -130,52 +130,67 @@ class Index:
 
         return F.coalesce(let(words(F.lower(text)), found), F.lit(False))
 
-    def windows(self, texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-        """(keys, start, n, k, window): item-sized windows of texts that put a shared shingle where the item has it."""
+    def windows(self, texts: DataFrame) -> DataFrame:
+        """(tk, start, n, k, window) of texts (tk, text): item-sized windows that put a shared shingle where the item has it.
+
+        Shared shingles travel without the words; a window's words are cut out where it meets its text again."""
         def passed(ws: Column) -> Column:
             of = lambda k: F.filter(F.transform(_runs(ws, k), lambda h, p: F.struct(F.lit(k).alias("k"), p.alias("p"), h.alias("h"))), lambda x: self.inside(x["h"]))
             return F.concat(*[of(k) for k in self.sizes])
 
-        found = texts.select(*keys, let(words(F.lower(F.col(text))), lambda ws: F.struct(ws.alias("ws"), passed(ws).alias("xs"))).alias("t"))
-        rows = found.select(*keys, F.col("t.ws").alias("ws"), F.inline("t.xs"))
-        met = rows.join(self.small(self.anchors, self.rows), ["k", "h"])
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.size("ws") - F.col("n")))
-        return met.select(*keys, start.alias("start"), "n", "k", F.slice("ws", start + 1, F.col("n")).alias("window")).distinct()
+        found = texts.select("tk", let(words(F.lower("text")), lambda ws: F.struct(F.size(ws).alias("m"), passed(ws).alias("xs"))).alias("t"))
+        rows = found.select("tk", F.col("t.m").alias("m"), F.inline("t.xs"))
+        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("m") - F.col("n")))
+        places = rows.join(self.small(self.anchors, self.rows), ["k", "h"]).select("tk", start.alias("start"), "n", "k").distinct()
+        cut = places.join(texts.select("tk", words(F.lower("text")).alias("ws")), "tk")
+        return cut.select("tk", "start", "n", "k", F.slice("ws", F.col("start") + 1, F.col("n")).alias("window"))
 
-    def hits(self, texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-        """(keys, item_id, start, similarity, hamming) of windows similar enough to an item."""
-        if self.bloom is None:
-            spark = texts.sparkSession
-            return spark.createDataFrame([], texts.select(*keys).schema.add(self.items.schema["item_id"]).add("start", "int").add("similarity", "double").add("hamming", "int"))
+    def pairs(self, texts: DataFrame) -> DataFrame:
+        """(tk, n, start, item_id, similarity, hamming) of windows within the radius of an item and similar enough."""
         p = self.params
         width, near = 64 // p.blocks, p.radius // p.blocks
         masks = [sum(1 << i for i in c) for size in range(near + 1) for c in combinations(range(width), size)]
         block = lambda fp: F.posexplode(F.array(*[F.shiftrightunsigned(fp, b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(p.blocks)])).alias("b", "v")
         spread = self.items.select("*", block(F.col("ifp"))).select("item_id", "n", "ish", "ifp", "b", F.explode(F.array(*[F.col("v").bitwiseXOR(F.lit(m)) for m in masks])).alias("v"))
-        w = self.windows(texts, keys, text).withColumn("wsh", _sized_runs(F.col("window"), F.col("k"), self.sizes)).withColumn("wfp", simhash(F.col("window"))).drop("window", "k")
-        pairs = w.select("*", block(F.col("wfp"))).join(self.small(spread, self.rows * p.blocks * len(masks)), ["n", "b", "v"])
+        w = self.windows(texts).withColumn("wsh", _sized_runs(F.col("window"), F.col("k"), self.sizes)).withColumn("wfp", simhash(F.col("window"))).drop("window", "k")
+        met = w.select("*", block(F.col("wfp"))).join(self.small(spread, self.rows * p.blocks * len(masks)), ["n", "b", "v"])
         hamming = F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp")))
-        near_pairs = pairs.where(hamming <= p.radius).dropDuplicates([*keys, "start", "n", "item_id"])
-        return near_pairs.select(*keys, "item_id", "start", weighted_jaccard(F.col("wsh"), F.col("ish")).alias("similarity"), hamming.cast("int").alias("hamming")).where(F.col("similarity") >= p.similarity)
+        within = met.where(hamming <= p.radius).dropDuplicates(["tk", "start", "n", "item_id"])
+        return within.select("tk", "n", "start", "item_id", weighted_jaccard(F.col("wsh"), F.col("ish")).alias("similarity"), hamming.cast("int").alias("hamming")).where(F.col("similarity") >= p.similarity)
+
+    def best(self, asked: DataFrame) -> DataFrame:
+        """(tk, item_id, start, similarity, hamming) of stored texts (tk, text, ...): the first window of greatest
+        similarity. Equal texts are looked at once."""
+        found = self.pairs(asked.select("tk", "text").dropDuplicates(["tk"])).groupBy("tk", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "hamming")).alias("best"))
+        return found.select("tk", "item_id", (-F.col("best.back")).alias("start"), "best.similarity", "best.hamming")
+
+
+def _asked(docs: DataFrame, index: Index, text: str, *more: Column) -> DataFrame:
+    """The texts that may hold an item, with a key of their own, stored: what follows reads them several times."""
+    rows = docs.select(*more, docs[text].cast("string").alias("text")).where(index.may_hit(F.col("text")))
+    return Tables(docs.sparkSession, "decontaminate").put(rows.withColumn("tk", F.sha2("text", 256)))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One row per document and item it holds: the first window of greatest similarity."""
+    """One row per document and item it holds: doc_id, item_id, start (word), similarity, hamming."""
     index = Index(benchmark, params)
-    texts = docs.select(docs[id_column].alias("doc_id"), docs[text].cast("string").alias("_text")).where(index.may_hit(F.col("_text")))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "hamming")).alias("best")
-    return index.hits(texts, ["doc_id"], "_text").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.back")).alias("start"), "best.similarity", "best.hamming")
+    asked = _asked(docs, index, text, docs[id_column].alias("doc_id"))
+    if index.bloom is None:
+        return asked.select("doc_id", F.lit(None).cast(index.items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0.0).alias("similarity"), F.lit(0).alias("hamming"))
+    ids = asked.select("doc_id", "tk").distinct()
+    return ids.join(index.best(asked), "tk").select("doc_id", "item_id", "start", "similarity", "hamming")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(), text: str = "text") -> DataFrame:
     """The documents without a hit, with their columns. Texts that share no shingle with an item pass without a shuffle."""
     index = Index(benchmark, params)
+    if index.bloom is None:
+        return docs
     names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs[text].cast("string").alias("_text"))
-    clean, asked = rows.where(~index.may_hit(F.col("_text"))), rows.where(index.may_hit(F.col("_text")))
-    asked = asked.withColumn("_key", F.sha2("_text", 256))
-    hits = index.hits(asked.select("_key", "_text"), ["_key"], "_text").select("_key").distinct()
-    kept = clean.select("_row").unionByName(asked.join(hits, "_key", "left_anti").select("_row"))
+    row = F.struct(*[docs[c] for c in names]).alias("_row")
+    clean = docs.select(row, docs[text].cast("string").alias("text")).where(~index.may_hit(F.col("text")))
+    asked = _asked(docs, index, text, row)
+    kept = clean.select("_row").unionByName(asked.join(index.best(asked).select("tk").distinct(), "tk", "left_anti").select("_row"))
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])
 
 
