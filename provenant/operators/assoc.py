@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.columns import col, ratio
+from ..functions.ranks import exact_quantiles
 
 
 def everything():
@@ -85,8 +86,11 @@ def class_moments(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 def numeric_summaries(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, min, max, mean, sd, median (exact, interpolated)."""
     long = _long(df, columns).filter("value IS NOT NULL")
-    v = F.col("value")
-    return long.groupBy(F.col("name").alias("column")).agg(F.count("*").alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, 0.5).alias("median"))
+    v, median = F.col("value"), F.lit(None).cast("double")
+    for name, m in exact_quantiles(long).items():
+        median = F.when(F.col("column") == name, F.lit(float(m))).otherwise(median)
+    rows = long.groupBy(F.col("name").alias("column")).agg(F.count("*").alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
+    return rows.withColumn("median", median)
 
 
 def numeric_findings(df: DataFrame, columns: list[str], target: str) -> list[dict]:

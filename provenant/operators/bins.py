@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.columns import col
+from ..functions.ranks import running_sums
 
 
 def should_group_by_value(distinct: int, rows: int, k: int = 10, most: int = 60, least_rows: int = 30) -> bool:
@@ -26,14 +27,11 @@ def value_buckets(df: DataFrame, column: str, target: str) -> DataFrame:
 def ntile_buckets(df: DataFrame, column: str, target: str, tie: list[str], k: int = 10) -> DataFrame:
     """bucket (1 to k), n, lo, hi, x of NTILE(k) over column and the tie-break columns, without sorting all rows in one task.
 
-    Rows are first counted by value; a window over the values gives the rank at which each value starts. Only values whose
+    Rows are first counted by value; running sums over ranges of values give the rank at which each starts. Only values whose
     rows fall into two buckets need an order among their own rows, which is a window partitioned by value.
     """
     rows = df.filter(col(column).isNotNull() & col(target).isNotNull()).select(col(column).cast("double").alias("v"), col(target).cast("bigint").alias("y"), *[col(t).alias(f"t{i}") for i, t in enumerate(tie)])
-    values = rows.groupBy("v").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    before = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    starts = values.select("v", "n", F.coalesce(before, F.lit(0)).alias("before"), total.alias("total"))
+    starts = running_sums(rows.groupBy("v").agg(F.count("*").alias("n")), "v", ["n"]).select("v", "n", F.col("before_n").alias("before"), F.col("total_n").alias("total"))
     starts = starts.select("v", "before", "total", _tile(F.col("before"), F.col("total"), k).alias("first"), _tile(F.col("before") + F.col("n") - 1, F.col("total"), k).alias("last"))
     placed = rows.join(starts, "v")
     whole = placed.filter("first = last").select("v", "y", F.col("first").alias("bucket"))

@@ -6,12 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.columns import col, ratio
+from ...functions.ranks import running_sums
 
 
-def everything():
-    """A window over all rows; only for tables of groups."""
-    return Window.partitionBy()
-
 
 def by_score(df: DataFrame, y: str, score: str) -> DataFrame:
     """score, n, x: rows and positives of each distinct score. Rows without outcome or score are left out."""
@@ -43,9 +40,8 @@ def roc_curve(df: DataFrame, y: str, score: str, steps: int = 100) -> DataFrame:
 
 def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row: auc with ties at half, null with one class only."""
-    scores = by_score(df, y, score)
-    before = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = scores.select("n", "x", (before + (F.col("n") + 1) / 2).alias("rank"))
+    scores = running_sums(by_score(df, y, score), "score", ["n"])
+    ranked = scores.select("n", "x", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
     sums = ranked.agg(F.sum(F.col("x") * F.col("rank")).alias("r"), F.sum("x").cast("double").alias("p"), (F.sum("n") - F.sum("x")).cast("double").alias("q"))
     return sums.select(ratio(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q")).alias("auc"))
 
@@ -55,12 +51,10 @@ def calibration(df: DataFrame, y: str, score: str, tie: list[str], k: int = 10)
 
     A score's rows share a bin unless a bin edge cuts through them; only those scores are ordered row by row."""
     rows = df.filter(col(y).isNotNull() & col(score).isNotNull()).select(col(score).cast("double").alias("s"), col(y).cast("bigint").alias("y"), *[col(t).alias(f"t{i}") for i, t in enumerate(tie)])
-    counts = rows.groupBy("s").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(everything())
-    size = F.greatest(F.lit(1), F.floor(total / k))
+    counts = running_sums(rows.groupBy("s").agg(F.count("*").alias("n")), "s", ["n"])
+    size = F.greatest(F.lit(1), F.floor(F.col("total_n") / k))
     place = lambda rank: F.least(F.floor(rank / F.col("size")), F.lit(k - 1)).cast("int")
-    edges = counts.select("s", "n", before.alias("before"), size.alias("size")).select("s", "before", "size", place(F.col("before")).alias("first"), place(F.col("before") + F.col("n") - 1).alias("last"))
+    edges = counts.select("s", "n", F.col("before_n").alias("before"), size.alias("size")).select("s", "before", "size", place(F.col("before")).alias("first"), place(F.col("before") + F.col("n") - 1).alias("last"))
     placed = rows.join(edges, "s")
     rank = F.row_number().over(Window.partitionBy("s").orderBy(*[F.col(f"t{i}") for i in range(len(tie))])) - 1
     whole = placed.filter("first = last").select("s", "y", F.col("first").alias("bin"))
@@ -75,8 +69,7 @@ def brier(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def ks_statistic(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row: the greatest distance of the two classes' cumulative shares over scores."""
-    scores = by_score(df, y, score)
-    upto = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    neg = F.col("n") - F.col("x")
-    gap = F.abs(ratio(F.sum("x").over(upto), F.sum("x").over(everything())) - ratio(F.sum(neg).over(upto), F.sum(neg).over(everything())))
+    scores = running_sums(by_score(df, y, score).withColumn("z", F.col("n") - F.col("x")), "score", ["x", "z"])
+    share = lambda c: ratio(F.col(f"before_{c}") + F.col(c), F.col(f"total_{c}"))
+    gap = F.abs(share("x") - share("z"))
     return scores.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))

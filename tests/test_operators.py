@@ -188,3 +188,27 @@ def test_profile_and_sanity(spark):
     assert sanity.duplicate_keys(df, ["id"]).first()["duplicate_keys"] == 1
     assert sanity.rank_deficiency(spark.range(20).select("id", (F.col("id") * 2).alias("b"), (F.col("id") ** 2).alias("c")), ["id", "b", "c"]) == 1
     assert sanity.duplicate_columns(df.withColumn("t", F.col("s")), ["s", "n", "t"]) == [("s", "t")]
+
+
+@pytest.mark.parametrize("most", [5, 100, 10**6])
+def test_exact_quantiles(spark, most):
+    import statistics
+
+    from provenant.functions.ranks import exact_quantiles
+
+    data = {"a": [float((i * 7919) % 1009) for i in range(1000)], "b": [1.0] * 400 + [2.0] * 401, "c": [5.0], "d": [float(i // 300) for i in range(900)], "e": [1.0] * 50 + [3.0] * 50}
+    long = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "name string, value double")
+    assert exact_quantiles(long, 0.5, most) == {k: statistics.median(v) for k, v in data.items()}
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 64])
+def test_running_sums(spark, cuts):
+    from provenant.functions.ranks import running_sums
+
+    df = spark.range(200).select((F.col("id") * 37 % 211).cast("double").alias("v"), (F.col("id") % 5 + 1).alias("n"))
+    rows = sorted(running_sums(df, "v", ["n"], cuts).collect())
+    so_far = 0
+    for r in rows:
+        assert (r["before_n"], r["total_n"]) == (so_far, sum(x["n"] for x in rows))
+        so_far += r["n"]
+    assert running_sums(df.limit(0), "v", ["n"], cuts).count() == 0

@@ -230,3 +230,21 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == events.count()
     assert rates.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_knowledge(spark, tmp_path):
+    from provenant.plans import knowledge
+
+    (tmp_path / "g.yaml").write_text("terms:\n  Gross_Margin:\n    meaning: profit over revenue\n    aliases: [GM]\n    owner: finance\n")
+    g = knowledge.Glossary.load(str(tmp_path / "g.yaml"))
+    assert g.resolve("gm")["term"] == "Gross_Margin" and g.owner("gross_margin") == "finance" and g.resolve("x") is None
+    rows = knowledge.metric_dictionary(glossary=g)
+    assert len(rows) == 6 and next(r for r in rows if r["metric"] == "gross_margin")["owner"] == "finance"
+    c = knowledge.Catalog(str(tmp_path / "c.json"))
+    c.put(knowledge.catalog_entry(dirty(spark), "dirty"))
+    c.put(knowledge.catalog_entry(emea(spark), "emea", documented=True))
+    assert [e["table"] for e in knowledge.Catalog(str(tmp_path / "c.json")).listed("uncertified")] == ["dirty"]
+    assert c.entries["emea"]["certification"] == "certified"
+    d = knowledge.design_experiment("conversion", 0.10, 0.02, 500)
+    assert d["power"] == pytest.approx(0.8, abs=0.01) and d["days"] == -(-2 * d["per_arm"] // 500)
+    assert knowledge.close_the_loop(0.1, 0.5, 0.6)["met"] and not knowledge.close_the_loop(0.1, 0.5, 0.45)["met"]
