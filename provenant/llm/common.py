@@ -41,6 +41,19 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """At the end of a task: what it freed goes back to the system. Spark keeps Python workers for later stages, which would
+    else hold the memory of earlier ones."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Tables:
     """Intermediate tables, written once in the shared folder (lineage ends there); dropped when no longer needed."""
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, Tables, components, mix64, table
+from .common import GOLDEN, Tables, components, mix64, release, table
 
 
 @dataclass(frozen=True)
@@ -123,6 +123,7 @@ def _sketch(df: DataFrame, params: Params, text: str, id_column: str) -> DataFra
                     nodes.append(node)
                     sizes.append(len(s))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "node", "n_shingles", "signature"])
+        release()
 
     return df.select(df[id_column].cast("bigint").alias("doc_id"), df[text].cast("string").alias("text")).mapInArrow(work, "doc_id bigint, node bigint, n_shingles bigint, signature binary")
 
@@ -154,6 +155,7 @@ def _bayes(pairs: DataFrame, signatures: DataFrame, params: Params) -> DataFrame
                     matches[alive] += (left[alive, done:n] == right[alive, done:n]).sum(1)
                     alive, done = alive[matches[alive] >= least], n
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(alive)), piece.column(1).take(pa.array(alive)), pa.array(matches[alive])], names=["a", "b", "matches"])
+        release()
 
     joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
     return joined.mapInArrow(work, "a bigint, b bigint, matches bigint")
@@ -178,6 +180,7 @@ def _fine(texts: DataFrame, params: Params) -> DataFrame:
             for piece in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 made = [sketch(shingles(t, params.shingle, words), first, further) for t in piece.column(1).cast(pa.large_binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(made, pa.binary())], names=["node", "fine"])
+        release()
 
     return texts.select("node", "text").mapInArrow(work, "node bigint, fine binary")
 
@@ -232,6 +235,7 @@ def _crossing(unsettled: DataFrame, fine: DataFrame, params: Params) -> DataFram
                 held.append(row[4:])
         if len(held) > 1:
             yield flush()
+        release()
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
     return dealt.select("key", "i", "j", "band", "own", "node", "label", "fine").mapInArrow(work, "a bigint, b bigint").distinct()
@@ -252,6 +256,7 @@ def _exact(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
                     shared = len(np.intersect1d(own, other, assume_unique=True))
                     good.append(100 * shared >= params.percent * (len(own) + len(other) - shared))
                 yield pa.RecordBatch.from_arrays([piece.column(0).filter(pa.array(good)), piece.column(1).filter(pa.array(good))], names=["a", "b"])
+        release()
 
     a, b = texts.toDF("a", "ta"), texts.toDF("b", "tb")
     joined = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
@@ -328,6 +333,7 @@ def _named(raw: DataFrame, params: Params) -> DataFrame:
                     s = shingles(t or b"", params.shingle, words)
                     nodes.append(_node(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), piece.column(0).cast(pa.string())], names=["node", "text"])
+        release()
 
     return raw.select("_text").mapInArrow(work, "node bigint, text string").where("node is not null")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import GOLDEN, mix64, table
+from .common import GOLDEN, mix64, release, table
 
 SYMBOLS = b"#*$%&|<>"
 FAMILIES = ("latin", "greek", "cyrillic", "arabic", "indic", "cjk", "other", "none")
@@ -44,7 +44,7 @@ class Rules:
 
     vocabulary: str = "piece_bpe_32k.model"
     path: str | None = None
-    least_tokens: int = 50
+    least_tokens: int = 100
     least_words: int = 10
     most_repeat_percent: int = 20
     by_language: dict = field(default_factory=lambda: {"en": Band(1.6, 9.0, 0.15, 3.0)})
@@ -229,6 +229,7 @@ def _run(df: DataFrame, rules: Rules, text: str, lang: str | None, keep_columns:
                 yield pa.RecordBatch.from_arrays([c.filter(mask) for c in rest], names=[f.name for f in out])
             else:
                 yield pa.RecordBatch.from_arrays([*rest, *(m.field(n) for n, _ in METRICS)], names=[f.name for f in out])
+        release()
 
     from pyspark.sql import functions as F
 

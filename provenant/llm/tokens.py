@@ -23,6 +23,7 @@ special-token strings within a text are encoded as the tokenizer file says; an e
 from __future__ import annotations
 
 import struct
+import threading
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, table
+from .common import new_folder, release, table
 
 MAGIC = b"PTOK0001"
 HEADER = struct.Struct("<8Q")
@@ -47,6 +48,7 @@ class Params:
     end_id: int = 2
     shards: int | None = None
     types_kept: int = 400_000
+    rest_s: float = 5.0
     chars_at_once: int = 1_500_000
     width: int = 2
 
@@ -203,15 +205,26 @@ class Encoder:
 
 
 _ENCODERS: dict[Params, Encoder] = {}
+_IDLE: list[threading.Timer] = []
 
 
 def encoder_of(params: Params) -> Encoder:
     """The process's encoder: Spark reuses Python workers, so a worker's later tasks know the words of its earlier ones."""
+    while _IDLE:
+        _IDLE.pop().cancel()
     if params not in _ENCODERS:
         _ENCODERS[params] = Encoder(params)
     return _ENCODERS[params]
 
 
+def encoder_rests(seconds: float) -> None:
+    """After a task: the encoder goes if no other task asks for it soon, so an idle worker holds no memory."""
+    timer = threading.Timer(seconds, _ENCODERS.clear)
+    timer.daemon = True
+    timer.start()
+    _IDLE.append(timer)
+
+
 def _open(path: str):
     import pyarrow.fs as pafs
 
@@ -275,7 +288,9 @@ def write_shards(docs: DataFrame, folder: str, params: Params = Params(), text:
             return
         path = f"{folder}/shard-{shard:06d}.tok"
         n, tokens = _write_shard((r for part in ([first], rows) for r in part), path, params, encoder_of(params))
+        encoder_rests(params.rest_s)
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([path]), pa.array([n]), pa.array([tokens])], names=["shard", "path", "documents", "tokens"])
+        release()
 
     rows = docs.select(docs[id_column].cast("bigint").alias("_id"), docs[text].cast("string").alias("_text"))
     dealt = rows.repartitionByRange(params.shards, "_id", "_text") if params.shards else rows.repartitionByRange("_id", "_text")
@@ -334,6 +349,7 @@ def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]]) -> Data
                     part = slice(k, min(k + 2000, s.documents))
                     crc = [zlib.crc32(s.read(x, y).astype("<u4").tobytes()) for x, y in zip(starts[part].tolist(), ends[part].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[part], pa.int64()), pa.array(starts[part] + before), pa.array(ends[part] - starts[part]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        release()
 
     names = spark.createDataFrame(rows, "shard int, path string, base bigint")
     return names.repartitionByRange(len(rows), "shard").mapInArrow(work, out)
