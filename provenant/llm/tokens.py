@@ -16,7 +16,8 @@ end a word, so the ids are those of the whole text (tested against it).
 A task writes its shard under a name of its own and renames it, with the same bytes whenever it runs again, so a lost
 executor costs a rerun and leaves no half file behind. Files go to the shared folder through pyarrow's file systems.
 
-Defined results: null, empty and blank texts have just the end id; rows that repeat an id stay apart, ordered by text;
+Defined results: null, empty and blank texts have just the end id; rows that repeat an id stay apart, ordered by a hash of
+their text;
 special-token strings within a text are encoded as the tokenizer file says; an empty table has no shards and no rows.
 """
 
@@ -292,9 +293,11 @@ def write_shards(docs: DataFrame, folder: str, params: Params = Params(), text:
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([path]), pa.array([n]), pa.array([tokens])], names=["shard", "path", "documents", "tokens"])
         release()
 
-    rows = docs.select(docs[id_column].cast("bigint").alias("_id"), docs[text].cast("string").alias("_text"))
-    dealt = rows.repartitionByRange(params.shards, "_id", "_text") if params.shards else rows.repartitionByRange("_id", "_text")
-    made = dealt.sortWithinPartitions("_id", "_text").mapInArrow(work, "shard bigint, path string, documents bigint, tokens bigint").collect()
+    # the range keys are two numbers: a sample of them goes to the driver, and texts must not
+    text_of = docs[text].cast("string")
+    rows = docs.select(docs[id_column].cast("bigint").alias("_id"), text_of.alias("_text"), F.xxhash64(text_of).alias("_hash"))
+    dealt = rows.repartitionByRange(params.shards, "_id", "_hash") if params.shards else rows.repartitionByRange("_id", "_hash")
+    made = dealt.sortWithinPartitions("_id", "_hash", "_text").select("_id", "_text").mapInArrow(work, "shard bigint, path string, documents bigint, tokens bigint").collect()
     return [(r["path"], r["documents"], r["tokens"]) for r in sorted(made, key=lambda r: r["shard"])]
 
 
