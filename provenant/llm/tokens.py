@@ -48,9 +48,9 @@ class Params:
     path: str | None = None
     end_id: int = 2
     shards: int | None = None
-    types_kept: int = 400_000
+    types_kept: int = 700_000
     rest_s: float = 5.0
-    chars_at_once: int = 1_500_000
+    chars_at_once: int = 2_500_000
     width: int = 2
 
     def file(self) -> str:
