@@ -6,7 +6,8 @@ product a * b: rounds add a keyed hash of one half to the other, modulo its size
 values, equal values get equal pseudonyms in all documents, and the holder of the key can invert it.
 
     card     13 to 19 digits with a Luhn check; the first digit and the separators stay, the check digit is made anew
-    phone    North American numbers with area and exchange 200 to 999; punctuation stays
+    phone    North American numbers with area and exchange 200 to 999, and any ten digits written with a + or the area in
+             brackets, those below 200 among themselves; punctuation stays
     ssn      ddd-dd-dddd with area 001 to 899 but 666, group and serial above 0
     ipv4     four octets of 0 to 255
     date     a calendar date of 1700 to 2099 as yyyy-mm-dd, yyyy/mm/dd, d.m.yyyy or m/d/yyyy, with its zero padding
@@ -120,9 +121,16 @@ def _phone(m: Column, p: Params) -> Column:
 
         def build(t: Column) -> Column:
             area, exchange = _number(F.substring(t, 1, 3)), _number(F.substring(t, 4, 3))
-            mixed = feistel(area - 200, (exchange - 200) * 10000 + _number(F.substring(t, 7, 4)), F.lit(800).cast("bigint"), F.lit(8_000_000).cast("bigint"), "phone", p)
-            made = lambda x: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), _pad(x["a"] + 200, 3), _pad(x["b"] + 2_000_000, 7))
-            return F.when((area >= 200) & (exchange >= 200), _fill(m, let(mixed, made)))
+            last = exchange * 10000 + _number(F.substring(t, 7, 4))
+
+            def within(low_a: int, size_a: int, low_b: int, size_b: int, kind: str) -> Column:
+                mixed = feistel(area - low_a, last - low_b, F.lit(size_a).cast("bigint"), F.lit(size_b).cast("bigint"), kind, p)
+                made = lambda x: F.concat(F.substring(d, F.lit(1), F.length(d) - 10), _pad(x["a"] + low_a, 3), _pad(x["b"] + low_b, 7))
+                return _fill(m, let(mixed, made))
+
+            written = m.startswith("+") | m.contains("(")
+            valid = F.when((area >= 200) & (exchange >= 200), within(200, 800, 2_000_000, 8_000_000, "phone"))
+            return valid.when(written & (area < 200), within(0, 200, 0, 10_000_000, "phone area")).when(written, within(200, 800, 0, 2_000_000, "phone exchange"))
 
         return let(ten, build)
 
