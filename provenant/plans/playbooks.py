@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -72,10 +72,19 @@ class Margin:
         effects = c.engine.run(decompose.decompose_margin(c.df, dim, period, p1, p2, value, cost), f"margin {dim} {p1} {p2}").df
         total = decompose.margin_totals(effects).first()
         simpson = decompose.simpsons_check(c.df.withColumn("_profit", col(value) - col(cost)), dim, period, p1, p2, "_profit", value).first()
-        parts = [r.asDict() for r in effects.orderBy(F.abs("total").desc(), "segment").limit(50).collect()]
+        ranked = effects.withColumn("_at", F.row_number().over(Window.orderBy(F.abs("total").desc(), "segment")))
+        parts = [r.asDict() for r in ranked.where("_at <= 50").orderBy("_at").drop("_at").collect()]
+        notes = [f"dominant effect: {total['dominant']}"]
+        sums = {k: F.sum(k).alias(k) for k in ("share_1", "share_2", "mix", "rate", "interaction", "total")}
+        margins = [ratio(F.sum(F.col(f"share_{i}") * F.col(f"margin_{i}")), F.sum(f"share_{i}")).alias(f"margin_{i}") for i in (1, 2)]
+        rest = ranked.where("_at > 50").agg(F.count("*").alias("n"), *sums.values(), *margins).first().asDict()
+        n = rest.pop("n")
+        if n:
+            parts.append({"segment": f"{n} other segments"} | rest)
+            notes.append(f"{n} segments of smaller effect are one part")
         numbers = {k: total[k] for k in ("margin_1", "margin_2", "delta", "mix", "rate", "interaction")}
         layers = [ev.structural(len(parts)), ev.identity([total["mix"], total["rate"], total["interaction"]], total["delta"]), ev.in_range({"margin_1": total["margin_1"], "margin_2": total["margin_2"]}), ev.Layer("simpson", not simpson["reversed"])]
-        return Outcome(numbers, parts, layers, notes=[f"dominant effect: {total['dominant']}"])
+        return Outcome(numbers, parts, layers, notes=notes)
 
     def rederive(self, c: Context, found: Outcome) -> tuple[bool, list[str]]:
         """The two margins from plain filtered sums."""

@@ -248,3 +248,11 @@ def test_knowledge(spark, tmp_path):
     d = knowledge.design_experiment("conversion", 0.10, 0.02, 500)
     assert d["power"] == pytest.approx(0.8, abs=0.01) and d["days"] == -(-2 * d["per_arm"] // 500)
     assert knowledge.close_the_loop(0.1, 0.5, 0.6)["met"] and not knowledge.close_the_loop(0.1, 0.5, 0.45)["met"]
+
+
+def test_margin_parts_hold_every_segment(spark):
+    rows = [(f"s{i:02d}", q, 100.0 + i, 50.0 + (i * k) % 37) for i in range(60) for k, q in ((3, "Q1"), (5, "Q2"))]
+    df = spark.createDataFrame(rows, "product_line string, quarter string, revenue double, cogs double")
+    found = playbooks.run_analysis(runlog.Engine(spark), df, "why did gross margin fall from Q1 to Q2?", "many", overrides={"dimension": "product_line"})["found"]
+    assert len(found.findings) == 51 and found.findings[-1]["segment"] == "10 other segments" and any("10 segments" in x for x in found.notes)
+    assert sum(x["total"] for x in found.findings) == pytest.approx(found.numbers["delta"], abs=1e-9)
