@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space. ``bytes.split()`` splits on exactly these six characters.
@@ -46,8 +48,6 @@ def release() -> None:
     else hold the memory of earlier ones."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -61,11 +61,13 @@ class Tables:
         self.spark, self.base, self.n = spark, new_folder(spark, name), 0
 
     def put(self, df: DataFrame) -> DataFrame:
+        """The stored table; its ``rows`` were counted as they were written."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out.stored_at = path
+        out.stored_at, out.rows = path, seen.get["rows"]
         return out
 
     def drop(self, *stored: DataFrame) -> None:
@@ -98,11 +100,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def components(links: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
-    """Connected components of links (a, b): a row (node, label) for every node of a link, label the smallest node.
+def smallest_in_component(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, label of each) of links in memory: every root is hooked to the least root it is linked with, then paths are
+    halved until they end; a few rounds for any shape."""
+    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = both[: len(a)], both[len(a):]
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        open_ = low < high
+        if not open_.any():
+            break
+        x, y = x[open_], y[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return nodes, nodes[root]
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    """(node, label) of links that were counted and are few."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            made = smallest_in_component(*(np.concatenate(c) for c in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], names=["node", "label"])
+        release()
 
-    Alternates large-star and small-star steps until no link changes. Links stay in tables in the shared folder; only
-    a count and a checksum reach the driver. Self links and repeated links are allowed; without links there are no rows.
+    return links.select("a", "b").coalesce(1).mapInArrow(work, "node bigint, label bigint")
+
+
+def components(links: DataFrame, tables: Tables, few: int = 4_000_000, rounds: int = 60) -> DataFrame:
+    """Connected components of links (a, b): a stored row (node, label) for every node of a link, label the smallest node.
+
+    Links are stored and counted. Up to ``few`` of them (32 bytes each) are settled by one task. More go through alternating
+    large-star and small-star steps, by shuffles, until no link changes or few are left. Only a count and a checksum reach
+    the driver. Self links and repeated links are allowed; without links there are no rows.
     """
     def step(edges: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -116,16 +149,29 @@ def components(links: DataFrame, tables: Tables, rounds: int = 60) -> DataFrame:
             return moved.where("a <> b").distinct()
         return moved.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    edges = tables.put(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    edges, seen = tables.put(links.where("a <> b").select("a", "b")), None
     for _ in range(rounds):
+        if edges.rows <= few:
+            out = tables.put(_in_one_task(edges))
+            tables.drop(edges)
+            return out
         after = tables.put(step(step(edges, True), False))
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         tables.drop(edges)
         edges = after
         if tuple(state) == seen:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         seen = tuple(state)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def joined_components(labels: DataFrame, more: DataFrame, tables: Tables, few: int = 4_000_000) -> DataFrame:
+    """The components of the links behind ``labels`` (node, label) and of further ones (a, b): only what the further links
+    join, seen from the components so far, is worked out."""
+    if not more.rows:
+        return labels
+    of_a, of_b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    between = more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    over = components(between, tables, few)
+    moved = labels.join(over.toDF("label", "lower"), "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    return tables.put(moved.unionByName(over.join(labels.select("node"), "node", "left_anti")))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, Tables, components, mix64, release, table
+from .common import GOLDEN, Tables, components, joined_components, mix64, release, table
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,8 @@ class Params:
     miss: float = 1e-5
     fine: int = 1024
     block: int = 1024
+    #: Up to so many links their components are worked out by one task, above it by shuffles.
+    few: int = 4_000_000
     seed: int = 20240229
 
     @property
@@ -276,18 +278,17 @@ def find_groups(df: DataFrame, params: Params = Params(), text: str = "text", id
     sketch = tables.put(_sketch(df, params, text, id_column))
     keys = F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda j: F.xxhash64(F.expr("signature").substr(j * (4 * params.rows) + 1, F.lit(4 * params.rows)), j))
     member = sketch.where("signature is not null").select("node", F.posexplode(keys).alias("band", "key"))
-    full = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    shared = tables.put(member.join(full, "key").select("key", "band", "node").distinct())
-    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
-    weight = shared.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("w"))
-    weighed = shared.join(weight, "node")
-    hubs = weighed.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
-    members = tables.put(shared.join(hubs, "key"))
+    full = member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    shared = tables.put(member.join(full, "key").select("key", "band", "node", "n").distinct())
+    weight = shared.groupBy("node").agg(F.sum("n").alias("w"))
+    hubs = shared.join(weight, "node").groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    members = tables.put(shared.join(hubs, "key").drop("n"))
     tables.drop(shared)
     pairs = members.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     candidates = members.select("node").distinct()
     signatures = tables.put(sketch.where("signature is not null").join(candidates.hint("shuffle_hash"), "node", "left_semi").select("node", "signature").dropDuplicates(["node"]))
     likely = tables.put(_bayes(pairs, signatures, params))
+    tables.drop(signatures)
 
     # texts of the nodes in question: one copy each, found by its doc_id and named again from the text itself
     chosen = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(candidates, "node")
@@ -297,25 +298,23 @@ def find_groups(df: DataFrame, params: Params = Params(), text: str = "text", id
 
     first = likely.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     links = tables.put(_exact(first, texts, params))
-    labels = components(links, tables)
+    labels = components(links, tables, params.few)
     more = tables.put(_exact(_across(likely, labels), texts, params))
-    found = links.union(more)
-    labels = components(found, tables)
+    labels = joined_components(labels, more, tables, params.few)
 
     # buckets of three or more nodes in several components
     several = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
     open_keys = several.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 and lo <> hi").select("key", "n")
     unsettled = tables.put(several.join(open_keys, "key"))
-    fine = tables.put(_fine(texts.join(unsettled.select("node").distinct(), "node", "left_semi"), params))
-    crossing = tables.put(_crossing(unsettled, fine, params).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
-    last = tables.put(_exact(crossing, texts, params))
-    if last.isEmpty():
-        final = labels
-    else:
-        final = components(found.union(last), tables)
+    if unsettled.rows:
+        fine = tables.put(_fine(texts.join(unsettled.select("node").distinct(), "node", "left_semi"), params))
+        crossing = tables.put(_crossing(unsettled, fine, params).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
+        labels = joined_components(labels, tables.put(_exact(crossing, texts, params)), tables, params.few)
+        tables.drop(fine, crossing)
+    tables.drop(members, unsettled, texts)
 
     ids = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    named = ids.join(final, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
+    named = ids.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     lowest = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = named.join(lowest, "label").select(F.col("node").alias("_node"), "component_id")
     out = sketch.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("_node"), "left")
