@@ -1,14 +1,18 @@
 """Quality rules (10): tokeniser fertility beside surface counts, in one pass of the text through Arrow.
 
-A public sentencepiece vocabulary with byte fallback encodes each word (a run of anything but ASCII white space) as it
-stands at the start of a word. Per text that gives characters per token, the share of byte-fallback tokens and the
-entropy of its token distribution; a text is rejected when a figure leaves the band of its language, or of its script
-where the language has none. Word types are encoded once and remembered, in a table of bounded size that is emptied
-when it is full, so results do not depend on it.
-
-Defined results: a null text counts as an empty one; a text under ``Rules.least_tokens`` tokens has no verdict from
-fertility (too little to measure); rows that repeat are judged alike; columns of other names, clashing ones included,
-are left as they are; an empty table gives an empty table.
+Public vocabularies encode each word (a run of anything but ASCII white space) as it stands at the start of a word: a
+sentencepiece one with byte fallback, and a byte-level one for many languages. Per text that gives characters per token of
+both, and of the first the share of byte-fallback tokens and the entropy of the token distribution. Word types are encoded once
+and remembered, in a table of bounded size that is emptied when it is full, so results do not depend on it.
+
+Bands are measured: over all texts that pass the surface rules, equal ones counted once, each language and each script has
+for every doubling of length the quantiles 0.05, 0.5 and 0.95 of each figure. A text is rejected when a figure lies further from
+the median than ``reach`` spreads of that side (a spread is the quantile's distance in units of a normal deviate, and at
+least ``floors``). So short texts, whose figures scatter, have wider bands. The band of the language decides, then that of
+the script, and where neither has ``enough`` texts of that length a fixed wide one of the script.
+
+Defined results: a null text counts as an empty one; a null language has its script's band; rows that repeat are judged
+alike; columns of other names, clashing ones included, are left as they are; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, mix64, release, table
+from .common import GOLDEN, Tables, mix64, release, table
 
 SYMBOLS = b"#*$%&|<>"
 FAMILIES = ("latin", "greek", "cyrillic", "arabic", "indic", "cjk", "other", "none")
@@ -40,14 +45,18 @@ class Band:
 
 @dataclass(frozen=True)
 class Rules:
-    """Bands hold for prose under a vocabulary of about 32,000 pieces, by language first and by script otherwise."""
+    """``by_script`` holds wide bands for prose under a vocabulary of about 32,000 pieces, where the table has too little to
+    measure."""
 
     vocabulary: str = "piece_bpe_32k.model"
+    byte_vocabulary: str = "byte_bpe_multi_50k.tiktoken"
     path: str | None = None
-    least_tokens: int = 100
+    byte_path: str | None = None
     least_words: int = 10
     most_repeat_percent: int = 20
-    by_language: dict = field(default_factory=lambda: {"en": Band(1.6, 9.0, 0.15, 3.0)})
+    reach: float = 5.0
+    enough: int = 40
+    floors: dict = field(default_factory=lambda: {"chars_per_token": 0.08, "chars_per_byte_token": 0.08, "byte_share": 0.02, "token_entropy": 0.1})
     by_script: dict = field(default_factory=lambda: {
         "latin": Band(1.4, 9.0, 0.25, 3.0), "greek": Band(0.8, 6.0, 0.4, 3.0), "cyrillic": Band(1.2, 8.0, 0.3, 3.0),
         "arabic": Band(0.7, 6.0, 0.5, 3.0), "indic": Band(0.4, 6.0, 0.9, 3.0), "cjk": Band(0.25, 4.0, 0.95, 3.0),
@@ -56,18 +65,18 @@ class Rules:
     types_kept: int = 100_000
     words_at_once: int = 400_000
 
-    def model(self) -> str:
-        if self.path:
-            return self.path
+    def models(self) -> tuple[str, str]:
         import public_tokenizers
 
-        return public_tokenizers.path(self.vocabulary)
+        return self.path or public_tokenizers.path(self.vocabulary), self.byte_path or public_tokenizers.path(self.byte_vocabulary)
 
 
+#: The figures that have bands, and the sides on which a text can leave them.
+SIDES = {"chars_per_token": "both", "chars_per_byte_token": "both", "byte_share": "high", "token_entropy": "low"}
 METRICS = [
     ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
     ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("n_tokens", pa.int64()), ("chars_per_token", pa.float64()),
-    ("byte_share", pa.float64()), ("token_entropy", pa.float64()), ("script", pa.string()), ("kept", pa.bool_()),
+    ("chars_per_byte_token", pa.float64()), ("byte_share", pa.float64()), ("token_entropy", pa.float64()), ("script", pa.string()),
 ]
 SPARK_TYPES = {pa.int64(): T.LongType(), pa.bool_(): T.BooleanType(), pa.float64(): T.DoubleType(), pa.string(): T.StringType()}
 
@@ -94,12 +103,20 @@ def family(word: str) -> int:
 
 
 class Types:
-    """Word types met so far: code points, tokens, byte tokens and script of each."""
+    """Word types met so far: code points, tokens, byte tokens, tokens of the byte-level vocabulary and script of each."""
 
     def __init__(self, rules: Rules):
+        import base64
+
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
 
-        self.encoder = sentencepiece.SentencePieceProcessor(model_file=rules.model())
+        pieces, ranks = rules.models()
+        self.encoder = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        with open(ranks, "rb") as lines:
+            known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.byte_encoder = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
         self.is_byte = np.array([self.encoder.is_byte(i) for i in range(self.encoder.vocab_size())])
         self.clear()
 
@@ -107,6 +124,7 @@ class Types:
         self.ids: dict[bytes, int] = {}
         self.points, self.script = np.empty(0, np.int64), np.empty(0, np.int8)
         self.tokens, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.byte_tokens = np.empty(0, np.int64)
 
     def learn(self, words: list[bytes]) -> np.ndarray:
         """The ids of words, after the new ones among them are encoded."""
@@ -118,6 +136,8 @@ class Types:
             self.ids.update(zip(new, range(first, first + len(new))))
             self.points = np.concatenate([self.points, np.fromiter(map(len, text), np.int64, len(new))])
             self.script = np.concatenate([self.script, np.fromiter(map(family, text), np.int8, len(new))])
+            more = self.byte_encoder.encode_ordinary
+            self.byte_tokens = np.concatenate([self.byte_tokens, np.fromiter((len(more(" " + w)) for w in text), np.int64, len(new))])
             sizes = np.fromiter(map(len, coded), np.int64, len(new))
             self.tokens = np.concatenate([self.tokens, np.fromiter((i for ids in coded for i in ids), np.int32, int(sizes.sum()))])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
@@ -152,7 +172,7 @@ def _repeats(ids: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
     return covered
 
 
-def measure(texts: list[bytes], langs: list, types: Types, rules: Rules) -> dict[str, np.ndarray | list]:
+def measure(texts: list[bytes], types: Types, rules: Rules) -> dict[str, np.ndarray | list]:
     split = [t.split() for t in texts]
     n_words = np.fromiter(map(len, split), np.int64, len(texts))
     ends = np.concatenate([[0], np.cumsum(n_words)])
@@ -181,32 +201,27 @@ def measure(texts: list[bytes], langs: list, types: Types, rules: Rules) -> dict
         lines = [x for x in t.split(b"\n") if x.strip()] if b"\n" in t else ()
         dup.append(len(lines) - len(set(lines)))
     failed = (n_words < rules.least_words) | (100 * repeat > rules.most_repeat_percent * n_words)
-    per_token, share = points / some, n_bytes / some
-    bands = [rules.by_language.get(lang) or rules.by_script[FAMILIES[s]] for lang, s in zip(langs, script)]
-    low, high, most, least = np.array([(b.low, b.high, b.byte_share, b.entropy) for b in bands]).reshape(-1, 4).T
-    good = (n_tokens < rules.least_tokens) | ((per_token >= low) & (per_token <= high) & (share <= most) & (entropy >= least))
     return {
         "n_words": n_words, "word_chars": points, "n_symbols": [len(t) - len(t.translate(None, SYMBOLS)) for t in texts], "n_dup_lines": dup,
-        "n_repeat_words": repeat, "base_failed": failed, "n_tokens": n_tokens, "chars_per_token": per_token,
-        "byte_share": share, "token_entropy": entropy, "script": [FAMILIES[s] for s in script], "kept": ~failed & good,
+        "n_repeat_words": repeat, "base_failed": failed, "n_tokens": n_tokens, "chars_per_token": points / some,
+        "chars_per_byte_token": points / np.maximum(_sums(types.byte_tokens[ids], ends), 1), "byte_share": n_bytes / some,
+        "token_entropy": entropy, "script": [FAMILIES[s] for s in script],
     }
 
 
-def _metrics(texts: pa.Array, langs: pa.Array | None, types: Types, rules: Rules) -> pa.StructArray:
+def _metrics(texts: pa.Array, types: Types, rules: Rules) -> pa.StructArray:
     """In pieces of about ``words_at_once`` words, so memory follows the largest text and not the batch."""
     found, piece, size = [], [], 0
-    raw = texts.cast(pa.large_binary()).to_pylist()
-    langs = langs.to_pylist() if langs is not None else [None] * len(raw)
 
     def flush() -> None:
         nonlocal piece, size
         if piece:
-            m = measure([t or b"" for t, _ in piece], [x for _, x in piece], types, rules)
+            m = measure(piece, types, rules)
             found.append(pa.StructArray.from_arrays([pa.array(m[n], t) for n, t in METRICS], [n for n, _ in METRICS]))
         piece, size = [], 0
 
-    for t, lang in zip(raw, langs):
-        piece.append((t, lang))
+    for t in texts.cast(pa.large_binary()).to_pylist():
+        piece.append(t or b"")
         size += len(t or b"") // 6 + 1
         if size >= rules.words_at_once:
             flush()
@@ -215,39 +230,78 @@ def _metrics(texts: pa.Array, langs: pa.Array | None, types: Types, rules: Rules
     return pa.concat_arrays(found) if found else empty
 
 
-def _run(df: DataFrame, rules: Rules, text: str, lang: str | None, keep_columns: list[str], out: T.StructType, only_kept: bool) -> DataFrame:
+def _measured(df: DataFrame, rules: Rules, text: str, lang: str | None, keep: list[str]) -> DataFrame:
+    """Stored rows: the kept columns as _2, _3, ..., a hash of the text, the language, and the METRICS."""
+    inner = [df[text].cast("string").alias("_0"), F.xxhash64(df[text].cast("string")).alias("_hash"), (df[lang].cast("string") if lang else F.lit(None).cast("string")).alias("_lang")]
+    inner += [df[c].alias(f"_{i + 2}") for i, c in enumerate(keep)]  # positions and not names, so that none can clash
+    narrow = df.select(*inner)
+    out = T.StructType([*narrow.schema.fields[1:], *(T.StructField(n, SPARK_TYPES[t]) for n, t in METRICS)])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = None
         for b in batches:
             if not b.num_rows:
                 continue
             types = types or Types(rules)
-            m = _metrics(b.column(0), b.column(1), types, rules)
-            rest = [b.column(2 + i) for i in range(len(keep_columns))]
-            if only_kept:
-                mask = m.field("kept")
-                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in rest], names=[f.name for f in out])
-            else:
-                yield pa.RecordBatch.from_arrays([*rest, *(m.field(n) for n, _ in METRICS)], names=[f.name for f in out])
+            m = _metrics(b.column(0), types, rules)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(m.field(n) for n, _ in METRICS)], names=[f.name for f in out])
         release()
 
-    from pyspark.sql import functions as F
-
-    # inside, columns have positions and not names, so that none can clash
-    inner = [df[text].cast("string").alias("_0"), (df[lang].cast("string") if lang else F.lit(None).cast("string")).alias("_1")]
-    inner += [df[c].alias(f"_{i + 2}") for i, c in enumerate(keep_columns)]
-    return df.select(*inner).mapInArrow(work, out)
+    return Tables(df.sparkSession, "quality").put(narrow.mapInArrow(work, out))
+
+
+def _length() -> Column:
+    """The doubling of length that a text falls in."""
+    return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int")
+
+
+def measured_bands(measured: DataFrame, rules: Rules) -> DataFrame:
+    """(of, length, low and high of each figure): a row per language or script and doubling of length with enough texts."""
+    good = measured.where("not base_failed").select("_hash", "_lang", "script", _length().alias("length"), *SIDES).dropDuplicates(["_hash"])
+    of = F.explode(F.array(F.concat(F.lit("language "), F.col("_lang")), F.concat(F.lit("script "), F.col("script"))))
+    quantiles = [F.percentile_approx(m, [0.05, 0.5, 0.95], 2000).alias(m) for m in SIDES]
+    rows = good.select(of.alias("of"), "length", *SIDES).where("of is not null").groupBy("of", "length").agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= rules.enough)
+    limits = []
+    for m in SIDES:
+        q = [F.get(F.col(m), F.lit(i)) for i in range(3)]
+        spread = lambda d, m=m: F.greatest(d / 1.6448536269514722, F.lit(rules.floors[m])) * rules.reach
+        limits += [(q[1] - spread(q[1] - q[0])).alias(f"low_{m}"), (q[1] + spread(q[2] - q[1])).alias(f"high_{m}")]
+    return rows.select("of", "length", *limits)
+
+
+def _judged(measured: DataFrame, rules: Rules) -> DataFrame:
+    """The measured rows with ``kept``."""
+    bands = measured_bands(measured, rules)
+    names = [c for c in bands.columns if c not in ("of", "length")]
+    rows = measured.withColumn("_length", _length())
+    for kind, value in (("language ", "_lang"), ("script ", "script")):
+        side = bands.select(F.col("of").alias(f"_of_{value}"), F.col("length").alias(f"_length_{value}"), F.struct(*names).alias(f"_band_{value}"))
+        rows = rows.join(side, (F.concat(F.lit(kind), F.col(value)) == F.col(f"_of_{value}")) & (F.col("_length") == F.col(f"_length_{value}")), "left")
+    band = F.coalesce("_band__lang", "_band_script")
+    inside = F.lit(True)
+    for m, side in SIDES.items():
+        if side != "high":
+            inside = inside & (F.col(m) >= band[f"low_{m}"])
+        if side != "low":
+            inside = inside & (F.col(m) <= band[f"high_{m}"])
+    wide = F.lit(True)
+    for name, b in rules.by_script.items():
+        own = F.col("chars_per_token").between(b.low, b.high) & (F.col("byte_share") <= b.byte_share) & (F.col("token_entropy") >= F.least(F.lit(b.entropy), F.log2(F.greatest("n_tokens", F.lit(1))) * 0.6))
+        wide = F.when(F.col("script") == name, own).otherwise(wide)
+    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, wide))
 
 
 def judge(df: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str | None = "lang", id_column: str = "doc_id") -> DataFrame:
-    """One row per document: its id and the METRICS."""
-    out = T.StructType([df.schema[id_column], *(T.StructField(n, SPARK_TYPES[t]) for n, t in METRICS)])
-    return _run(df, rules, text, lang, [id_column], out, False)
+    """One row per document: its id, the METRICS and the verdict ``kept``."""
+    rows = _judged(_measured(df, rules, text, lang, [id_column]), rules)
+    return rows.select(F.col("_2").alias(id_column), *[n for n, _ in METRICS], "kept")
 
 
 def keep_good(df: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """The documents that the rules keep, with their columns; no shuffle, one pass."""
-    return _run(df, rules, text, lang, df.columns, df.schema, True)
+    """The documents that the rules keep, with their columns. Texts are read once; rows are stored beside their figures, and
+    only the bands, a few rows, meet them."""
+    rows = _judged(_measured(df, rules, text, lang, df.columns), rules).where("kept")
+    return rows.select(*[F.col(f"_{i + 2}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,64 @@ def test_types_may_be_forgotten(spark):
     small = quality.Rules(types_kept=10, words_at_once=300)
     key = lambda r: (r.doc_id is None, r.doc_id, r.n_words)
     assert sorted(quality.judge(df, small).collect(), key=key) == sorted(quality.judge(df).collect(), key=key)
+
+
+def figures(text):
+    """Characters per token of both vocabularies, byte share and entropy, word by word."""
+    import base64
+    import math
+    from collections import Counter
+
+    import public_tokenizers as P
+    import sentencepiece
+    import tiktoken
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    tk = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ws = WORD.findall(text or "")
+    ids, more, chars = [i for w in ws for i in sp.encode(w)], sum(len(tk.encode_ordinary(" " + w)) for w in ws), sum(map(len, ws))
+    n, counts = len(ids), Counter(ids)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
+    return n, chars / max(n, 1), chars / max(more, 1), sum(map(sp.is_byte, ids)) / max(n, 1), entropy
+
+
+def test_fertility_matches_brute_force(spark):
+    rows = [r for r in documents(n=25) if r[1] is None or len(r[1]) < 5000]
+    rows += [(900, "smör 😀😀 naïve 漢字 слово abc", "fr", "s", 1), (901, "\u0300x y", "fr", "s", 1)]
+    want = {r[0]: figures(r[1]) for r in rows}
+    for r in quality.judge(frame(spark, rows)).collect():
+        got = (r.n_tokens, r.chars_per_token, r.chars_per_byte_token, r.byte_share, r.token_entropy)
+        assert got == pytest.approx(want[r.doc_id], abs=1e-9), r.doc_id
+
+
+def test_bands_are_those_of_the_quantiles(spark):
+    import numpy as np
+
+    rules = quality.Rules(enough=5)
+    measured = quality._measured(frame(spark, documents(n=60)), rules, "text", "lang", ["doc_id"])
+    rows, seen = [], set()
+    for r in measured.where("not base_failed").collect():
+        if r["_hash"] not in seen:
+            seen.add(r["_hash"])
+            rows.append(r)
+    bands = {(b["of"], b.length): b for b in quality.measured_bands(measured, rules).collect()}
+    assert bands
+    for (of, length), b in bands.items():
+        kind, value = of.split()
+        own = [r for r in rows if (r["_lang"] if kind == "language" else r.script) == value and int(np.log2(r.n_tokens)) == length]
+        assert len(own) >= 5
+        for m in quality.SIDES:
+            x = sorted(r[m] for r in own)
+            q = [x[max(0, int(np.ceil(p * len(x))) - 1)] for p in (0.05, 0.5, 0.95)]
+            low = q[1] - rules.reach * max((q[1] - q[0]) / 1.6448536269514722, rules.floors[m])
+            high = q[1] + rules.reach * max((q[2] - q[1]) / 1.6448536269514722, rules.floors[m])
+            assert (b[f"low_{m}"], b[f"high_{m}"]) == pytest.approx((low, high), abs=1e-9)
+
+
+def test_fertility_decides_on_a_whole_table(spark):
+    """At sf0.1 the bands reject words strung with symbols, in three languages, and next to nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = quality.judge(docs).where("not base_failed and not kept").select("doc_id").join(docs, "doc_id").collect()
+    soup = [r for r in out if all(x in r.text for x in ("###", "$$$", "&&&"))]
+    assert 20 <= len(soup) and len(out) - len(soup) <= 5
