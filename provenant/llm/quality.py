@@ -62,6 +62,8 @@ class Rules:
         "arabic": Band(0.7, 6.0, 0.5, 3.0), "indic": Band(0.4, 6.0, 0.9, 3.0), "cjk": Band(0.25, 4.0, 0.95, 3.0),
         "other": Band(0.25, 9.0, 0.95, 2.5), "none": Band(0.8, 6.0, 0.25, 2.5),
     })
+    #: Bands are counted; up to so many rows of them are sent to all tasks, so that texts are not dealt by their language.
+    broadcast_rows: int = 200_000
     types_kept: int = 100_000
     words_at_once: int = 400_000
 
@@ -271,11 +273,12 @@ def measured_bands(measured: DataFrame, rules: Rules) -> DataFrame:
 
 def _judged(measured: DataFrame, rules: Rules) -> DataFrame:
     """The measured rows with ``kept``."""
-    bands = measured_bands(measured, rules)
+    bands = Tables(measured.sparkSession, "bands").put(measured_bands(measured, rules))
     names = [c for c in bands.columns if c not in ("of", "length")]
     rows = measured.withColumn("_length", _length())
     for kind, value in (("language ", "_lang"), ("script ", "script")):
         side = bands.select(F.col("of").alias(f"_of_{value}"), F.col("length").alias(f"_length_{value}"), F.struct(*names).alias(f"_band_{value}"))
+        side = F.broadcast(side) if bands.rows <= rules.broadcast_rows else side
         rows = rows.join(side, (F.concat(F.lit(kind), F.col(value)) == F.col(f"_of_{value}")) & (F.col("_length") == F.col(f"_length_{value}")), "left")
     band = F.coalesce("_band__lang", "_band_script")
     inside = F.lit(True)
