@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .functions import stats
 from .operators import assoc, bins, cohort, decompose, profile, sanity, series
 from .operators.model import logit, metrics
 from .operators.model.tiers import TierPolicy, tier_counts
@@ -100,23 +101,24 @@ b AS (SELECT l_orderkey, p_brand, row_number() OVER (PARTITION BY l_orderkey ORD
 SELECT o_orderkey, x.lines, x.parts, round(x.mean_discount, 6) AS mean_discount, x.quantity, b.p_brand AS top_brand, CASE WHEN x.l_orderkey IS NOT NULL THEN 1 ELSE 0 END AS has_lines
 FROM orders LEFT JOIN x ON x.l_orderkey = o_orderkey LEFT JOIN b ON b.l_orderkey = o_orderkey AND b.k = 1""")
 def order_grain_attribution(read) -> DataFrame:
-    """The many side is summed up before the join; the dominant brand comes from an aggregate, not a window."""
-    lines = read("lineitem").join(read("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    by = lines.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.count_distinct("l_partkey").alias("parts"), F.avg("l_discount").alias("mean_discount"), F.sum("l_quantity").alias("quantity"), F.max_by("p_brand", F.struct("l_extendedprice", "l_partkey")).alias("top_brand"))
+    """The many side is summed up to the order before any join; the dominant part comes from an aggregate, and only it is
+    looked up."""
+    lines = read("lineitem")
+    by = lines.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.count_distinct("l_partkey").alias("parts"), F.avg("l_discount").alias("mean_discount"), F.sum("l_quantity").alias("quantity"), F.max_by("l_partkey", F.struct("l_extendedprice", "l_partkey")).alias("top_part"))
     joined = read("orders").select("o_orderkey").join(by, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    joined = joined.join(read("part").select("p_partkey", F.col("p_brand").alias("top_brand")), F.col("top_part") == F.col("p_partkey"), "left")
     return rounded(joined.select("o_orderkey", "lines", "parts", "mean_discount", "quantity", "top_brand", F.col("l_orderkey").isNotNull().cast("int").alias("has_lines")))
 
 
 @query("""SELECT event_type, user_id, max(CASE WHEN k = 1 THEN value END) AS value_at_last FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE value IS NOT NULL) GROUP BY 1, 2""")
 def value_at_maximum(read) -> DataFrame:
-    rows = read("events").filter("value IS NOT NULL")
-    return rows.groupBy("event_type", "user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value_at_last"))
+    return C.value_at_maximum(read("events"), ["event_type", "user_id"], "value", ["ts", "event_id"], "value_at_last")
 
 
 @query("""SELECT y, orders, round(total, 2) AS total FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS orders, sum(o_totalprice) AS total FROM (SELECT * FROM orders WHERE year(o_orderdate) < 1996 UNION ALL SELECT * FROM orders WHERE year(o_orderdate) >= 1996) GROUP BY 1)""")
 def union_years(read) -> DataFrame:
     o = read("orders")
-    both = o.filter(F.year("o_orderdate") < 1996).unionByName(o.filter(F.year("o_orderdate") >= 1996))
+    both = C.union_all([o.filter(F.year("o_orderdate") < 1996), o.filter(F.year("o_orderdate") >= 1996)])
     return rounded(both.groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total")), 2)
 
 
@@ -139,13 +141,12 @@ def distinct_count_rows(read) -> DataFrame:
 
 @query("SELECT p_brand AS level, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20")
 def top_levels(read) -> DataFrame:
-    return sales(read).groupBy(F.col("p_brand").alias("level")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("level").asc_nulls_last()).limit(20)
+    return C.top_levels(sales(read), "p_brand", 20)
 
 
 @query("""SELECT c_mktsegment, c_custkey, round(c_acctbal, 2) AS c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k = 1""")
 def best_per_key(read) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.col("c_acctbal").desc(), "c_custkey"))
-    return rounded(read("customer").withColumn("k", k).filter("k = 1").select("c_mktsegment", "c_custkey", "c_acctbal"), 2)
+    return rounded(C.best_per_key(read("customer"), ["c_mktsegment"], [-F.col("c_acctbal"), F.col("c_custkey")], ["c_custkey", "c_acctbal"]), 2)
 
 
 # ------------------------------------------------------------ metrics
@@ -218,7 +219,7 @@ def freshness(read) -> DataFrame:
 
 @query("""SELECT count(*) AS n, count(*) FILTER (WHERE o_orderpriority IS NULL) AS null_priority, count(*) FILTER (WHERE o_totalprice > 100000) AS large FROM orders""")
 def quality_counts(read) -> DataFrame:
-    return read("orders").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderpriority").isNull()).alias("null_priority"), F.count_if(F.col("o_totalprice") > 100000).alias("large"))
+    return C.condition_counts(read("orders"), {"null_priority": F.col("o_orderpriority").isNull(), "large": F.col("o_totalprice") > 100000})
 
 
 # ------------------------------------------------------------ repairs on columns made untidy by the same expressions
@@ -232,8 +233,11 @@ def repair_boolean(read) -> DataFrame:
 
 @query("SELECT event_id, upper(trim(' ' || event_type || CASE WHEN event_id % 2 = 0 THEN '  ' ELSE '' END)) AS fixed FROM events")
 def repair_whitespace_case(read) -> DataFrame:
-    t = F.concat(F.lit(" "), F.col("event_type"), F.when(F.col("event_id") % 2 == 0, "  ").otherwise(""))
-    return read("events").select("event_id", F.upper(F.trim(t)).alias("fixed"))
+    """The repair that the case module proposes for a column with several spellings of its values."""
+    t = F.concat(F.lit(" "), F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).otherwise(F.col("event_type")), F.when(F.col("event_id") % 2 == 0, "  ").otherwise(""))
+    rows = read("events").select("event_id", t.alias("t"))
+    issue = next(i for i in repairs.detect(rows, ["case_standardisation"]) if i.column == "t")
+    return rows.select("event_id", issue.repair.alias("fixed"))
 
 
 COUNTRY_SQL = """SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN ' U.S.' WHEN 1 THEN 'Deutschland' WHEN 2 THEN 'bharat ' WHEN 3 THEN 'Brazil' WHEN 4 THEN 'UK' ELSE 'Elsewhere' END AS t FROM nation"""
@@ -384,7 +388,7 @@ def ntile_buckets(read) -> DataFrame:
     return bins.ntile_buckets(c, "v", "t", ["c_custkey"])
 
 
-@query("SELECT CASE WHEN l_quantity IS NULL THEN NULL WHEN l_quantity < 16 THEN '<16' WHEN l_quantity < 21 THEN '16-20' ELSE '21+' END AS label, count(*) AS n FROM lineitem GROUP BY 1")
+@query("SELECT CASE WHEN l_quantity IS NULL THEN NULL WHEN l_quantity < 16 THEN '0-15' WHEN l_quantity < 21 THEN '16-20' ELSE '21+' END AS label, count(*) AS n FROM lineitem GROUP BY 1")
 def bin_labels(read) -> DataFrame:
     return read("lineitem").groupBy(bins.bin_column(F.col("l_quantity"), [16, 21]).alias("label")).agg(F.count("*").alias("n"))
 
@@ -393,13 +397,11 @@ def bin_labels(read) -> DataFrame:
 c AS (SELECT a.v AS cut, sum(b.x) FILTER (WHERE b.v >= a.v) / sum(b.n) FILTER (WHERE b.v >= a.v) AS above, sum(b.x) FILTER (WHERE b.v < a.v) / sum(b.n) FILTER (WHERE b.v < a.v) AS below FROM g a JOIN g b ON true GROUP BY 1)
 SELECT cut, round(abs(above - below), 6) AS jump FROM c WHERE below IS NOT NULL ORDER BY abs(above - below) DESC, cut LIMIT 1""")
 def threshold_cut(read) -> DataFrame:
-    """The strongest single split of a rate: prefix sums over the distinct values."""
+    """Where the rate steps, as detect_threshold finds it over the distinct values."""
     rows = read("lineitem").withColumn("t", (((F.col("l_quantity") >= 30) & (F.col("l_linenumber") % 3 > 0)) | (F.col("l_linenumber") % 10 == 0)).cast("int"))
-    b = bins.value_buckets(rows, "l_quantity", "t")
-    every, before = Window.partitionBy(), Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    sums = b.select(F.col("lo").alias("cut"), F.sum("n").over(every).alias("N"), F.sum("x").over(every).alias("X"), F.sum("n").over(before).alias("nb"), F.sum("x").over(before).alias("xb")).filter("nb IS NOT NULL")
-    jump = F.abs((F.col("X") - F.col("xb")) / (F.col("N") - F.col("nb")) - F.col("xb") / F.col("nb"))
-    return rounded(sums.select("cut", jump.alias("jump")).orderBy(F.col("jump").desc(), "cut").limit(1))
+    made = bins.value_buckets(rows, "l_quantity", "t").orderBy("bucket").collect()
+    found = bins.detect_threshold([bins.Bucket(r["lo"], r["hi"], r["n"], r["x"]) for r in made])
+    return rows.sparkSession.createDataFrame([(c, round(found.jump, 6)) for c in found.cuts], "cut double, jump double")
 
 
 # ------------------------------------------------------------ cohorts, series
@@ -558,3 +560,77 @@ def top_factor(read) -> DataFrame:
     """The factor of greatest size per row, by sorting an array in the row."""
     parts = F.array(F.struct((F.col("l_partkey") % 7).alias("size"), F.lit(1).alias("first"), F.lit("part").alias("name")), F.struct((F.col("l_suppkey") % 5).alias("size"), F.lit(0).alias("first"), F.lit("supplier").alias("name")))
     return _scored(read).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.sort_array(parts, asc=False)[0]["name"].alias("first_factor"))
+
+
+# ------------------------------------------------------------ tests and intervals on summaries of a table
+
+def one_row(read, values: dict[str, float | int | str | bool]) -> DataFrame:
+    """Results that were worked out from one aggregated row."""
+    kinds = {float: "double", int: "bigint", str: "string", bool: "boolean"}
+    spark = read("region").sparkSession
+    return rounded(spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {kinds[type(v)]}" for k, v in values.items())))
+
+
+RATES = "WITH g AS (SELECT count(*) FILTER (WHERE l_linestatus = 'F') AS n1, count(*) FILTER (WHERE l_linestatus = 'F' AND l_quantity > 25) AS x1, count(*) FILTER (WHERE l_linestatus = 'O') AS n2, count(*) FILTER (WHERE l_linestatus = 'O' AND l_quantity > 25) AS x2 FROM lineitem)"
+
+
+def _rates(read):
+    return read("lineitem").agg(*[F.count_if((F.col("l_linestatus") == s) & more).alias(n) for s, k in (("F", 1), ("O", 2)) for n, more in ((f"n{k}", F.lit(True)), (f"x{k}", F.col("l_quantity") > 25))]).first()
+
+
+@query(RATES + " SELECT round((x1 / n1 - x2 / n2) / sqrt((x1 + x2) / (n1 + n2) * (1 - (x1 + x2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 6) AS z FROM g")
+def test_of_two_shares(read) -> DataFrame:
+    g = _rates(read)
+    return one_row(read, {"z": stats.proportions(g["x1"], g["n1"], g["x2"], g["n2"]).statistic})
+
+
+@query(RATES + """, w AS (SELECT x1 / n1 AS p, n1 AS n, 1.959963984540054 AS z FROM g)
+SELECT round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM w""")
+def interval_of_a_share(read) -> DataFrame:
+    g = _rates(read)
+    return one_row(read, dict(zip(("low", "high"), stats.wilson(g["x1"], g["n1"]))))
+
+
+MEANS = """WITH g AS (SELECT count(*) FILTER (WHERE l_returnflag = 'R') AS n1, avg(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS m1, stddev_samp(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS s1,
+  count(*) FILTER (WHERE l_returnflag = 'N') AS n2, avg(l_extendedprice) FILTER (WHERE l_returnflag = 'N') AS m2, stddev_samp(l_extendedprice) FILTER (WHERE l_returnflag = 'N') AS s2 FROM lineitem)"""
+
+
+def _means(read) -> tuple:
+    of = lambda flag: F.when(F.col("l_returnflag") == flag, F.col("l_extendedprice"))
+    return tuple(read("lineitem").agg(*[f(of(flag)) for flag in "RN" for f in (F.count, F.avg, F.stddev_samp)]).first())
+
+
+@query(MEANS + " SELECT round((m1 - m2) / sqrt(s1 * s1 / n1 + s2 * s2 / n2), 6) AS t, round(pow(s1 * s1 / n1 + s2 * s2 / n2, 2) / (pow(s1 * s1 / n1, 2) / (n1 - 1) + pow(s2 * s2 / n2, 2) / (n2 - 1)), 3) AS df FROM g")
+def test_of_two_means(read) -> DataFrame:
+    found = stats.welch(*_means(read))
+    return one_row(read, {"t": found.statistic, "df": round(found.df, 3)})
+
+
+@query(MEANS + """, d AS (SELECT n1, n2, (m1 - m2) / sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / (n1 + n2 - 2)) AS d FROM g), e AS (SELECT d, sqrt((n1 + n2) / (n1 * n2) + d * d / (2 * (n1 + n2))) AS se FROM d)
+SELECT round(d, 6) AS d, round(se, 6) AS se, round(d - 1.96 * se, 6) AS low, round(d + 1.96 * se, 6) AS high FROM e""")
+def standardised_difference(read) -> DataFrame:
+    found = stats.cohens_d(*_means(read))
+    return one_row(read, {k: found[k] for k in ("d", "se", "low", "high")})
+
+
+@query("SELECT round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM (SELECT corr(l_extendedprice, l_quantity) AS r, count(*) AS n FROM lineitem)")
+def test_of_a_correlation(read) -> DataFrame:
+    g = read("lineitem").agg(F.corr("l_extendedprice", "l_quantity").alias("r"), F.count("*").alias("n")).first()
+    return one_row(read, {"r": g["r"], "t": round(stats.correlation(g["r"], g["n"]).statistic, 4)})
+
+
+@query(RATES + """, b AS (SELECT x1 / n1 AS p, n1 AS n, 1.959963984540054 AS za, 0.8416212335729143 AS zb FROM g)
+SELECT round((za + zb) * sqrt(2 * p * (1 - p) / n), 6) AS detectable, CAST(ceil(pow((za * sqrt(2 * (p + 0.01) * (1 - p - 0.01)) + zb * sqrt(p * (1 - p) + (p + 0.02) * (1 - p - 0.02))) / 0.02, 2)) AS BIGINT) AS per_arm FROM b""")
+def sizes_of_an_experiment(read) -> DataFrame:
+    g = _rates(read)
+    base = g["x1"] / g["n1"]
+    return one_row(read, {"detectable": stats.detectable_effect(g["n1"], base), "per_arm": stats.sample_size(base, 0.02)})
+
+
+@query("""SELECT n_nationkey, round(CASE n_nationkey % 3 WHEN 0 THEN e / (e + 1) WHEN 1 THEN e / 100 ELSE e END * CASE WHEN n_nationkey % 2 = 0 THEN 1.0 ELSE 0.5 END * least(1.0, 40 * n_nationkey / 384), 6) AS score FROM (SELECT n_nationkey, n_nationkey / 10 AS e FROM nation)""")
+def finding_scores(read) -> DataFrame:
+    """The score by which findings of different kinds are ranked, for a row per nation."""
+    kinds = ("d", "gap_pp", "correlation")
+    keys = sorted(r[0] for r in read("nation").select("n_nationkey").collect())
+    rows = [(k, float(assoc.rank_score(k / 10, kinds[k % 3], k % 2 == 0, 40 * k))) for k in keys]
+    return rounded(read("nation").select("n_nationkey").join(read("nation").sparkSession.createDataFrame(rows, "n_nationkey bigint, score double"), "n_nationkey"))

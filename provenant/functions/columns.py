@@ -75,3 +75,33 @@ def equals(df: DataFrame, values: dict[str, object]) -> DataFrame:
 def changed(before: Column, after: Column) -> Column:
     """Null-safe inequality."""
     return ~before.eqNullSafe(after)
+
+
+def best_per_key(df: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
+    """Of each key the columns of the row with the least ``order``, by an aggregate: no rows of a hot key are sorted."""
+    best = F.min(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], F.struct(*[col(c) for c in columns]).alias("row"))).alias("_best")
+    return df.groupBy(*[col(k) for k in keys]).agg(best).select(*[col(k) for k in keys], *[F.col("_best.row").getField(c).alias(c) for c in columns])
+
+
+def value_at_maximum(df: DataFrame, keys: list[str], value: str, by: list[str], name: str) -> DataFrame:
+    """The last non-null value of each key in the order of ``by``."""
+    known = df.filter(col(value).isNotNull())
+    return known.groupBy(*[col(k) for k in keys]).agg(F.max_by(col(value), F.struct(*[col(b) for b in by])).alias(name))
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """The rows of all tables by column name; a column that one lacks is null there."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def condition_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """One row: n and how many rows meet each condition; null does not."""
+    return df.agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in conditions.items()])
+
+
+def top_levels(df: DataFrame, column: str, k: int = 20) -> DataFrame:
+    """The k commonest values (level, n); ties go to the smaller value, null is one."""
+    return df.groupBy(col(column).alias("level")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("level").asc_nulls_last()).limit(k)

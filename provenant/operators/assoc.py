@@ -107,7 +107,7 @@ def numeric_findings(df: DataFrame, columns: list[str], target: str) -> list[dic
         one, zero = classes[1], classes[0]
         args = (one["n"], one["mean"], one["sd"] or 0.0, zero["n"], zero["mean"], zero["sd"] or 0.0)
         test, d = stats.correlation(r["r"], r["n"]), stats.cohens_d(*args)
-        out.append({"column": c, "kind": "numeric", "n": r["n"], "r": r["r"], "p_value": test.p_value, "significant": test.significant, "welch": stats.welch(*args), "d": d and d["d"], "effect": abs(r["r"])})
+        out.append({"column": c, "kind": "numeric", "n": r["n"], "r": r["r"], "p_value": test.p_value, "significant": test.below(), "welch": stats.welch(*args), "d": d and d["d"], "effect": abs(r["r"])})
     return out
 
 
@@ -136,7 +136,7 @@ def categorical_findings(df: DataFrame, columns: list[str], target: str, k: int
         level, lx, ln = max(rows, key=lambda r: abs(r[1] / r[2] - x / n))
         test = stats.proportions(lx, ln, x - lx, n - ln)
         v = stats.cramers_v(chi["statistic"], chi["n"], len(rows))
-        out.append({"column": c, "kind": "categorical", "n": n, "level": level, "gap_pp": 100 * (lx / ln - x / n), "p_value": test.p_value, "significant": test.significant, "chi_square": chi, "cramers_v": v, "effect": v or 0.0})
+        out.append({"column": c, "kind": "categorical", "n": n, "level": level, "gap_pp": 100 * (lx / ln - x / n), "p_value": test.p_value, "significant": test.below(), "chi_square": chi, "cramers_v": v, "effect": v or 0.0})
     return out
 
 

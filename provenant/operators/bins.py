@@ -49,20 +49,24 @@ def _tile(rank: Column, total: Column, k: int) -> Column:
 
 # ---------------------------------------------------------------- edges
 
-def labels_of(edges: list[float], integral: bool = True) -> list[str]:
-    """Names of the bins between inclusive lower edges: ``0-15``, ``16-20``, ``21+`` for 0 to the first of [16, 21]."""
-    show = lambda e: f"{e:g}"
-    out = [f"<{show(edges[0])}"]
-    for a, b in zip(edges, edges[1:]):
-        out.append(f"{show(a)}-{show(b - 1)}" if integral else f"{show(a)}-<{show(b)}")
-    return [*out, f"{show(edges[-1])}+"]
+def labels_of(edges: list[float]) -> list[str]:
+    """Names of the bins between inclusive lower edges. Whole edges name whole values, the first bin from 0: ``0-15``,
+    ``16-20``, ``21+`` for [16, 21]; others name their limits: ``<0.5``, ``0.5-2``, ``2+``. Without edges all is one bin."""
+    if not edges:
+        return ["all"]
+    cuts = sorted(edges)
+    whole = all(float(c).is_integer() for c in cuts)
+    tops = [f"{c - 1 if whole else c:g}" for c in cuts]
+    lows = ["0", *(f"{c:g}" for c in cuts)]
+    first = f"0-{tops[0]}" if whole else f"<{tops[0]}"
+    return [first, *(f"{a}-{b}" for a, b in zip(lows[1:], tops[1:])), f"{lows[-1]}+"]
 
 
 def bin_column(value: Column, edges: list[float], labels: list[str] | None = None) -> Column:
     """The label of a value; each edge belongs to the bin above it; null stays null."""
     labels = labels or labels_of(edges)
     out = F.when(value.isNull(), F.lit(None).cast("string"))
-    for edge, label in zip(edges, labels):
+    for edge, label in zip(sorted(edges), labels):
         out = out.when(value < edge, label)
     return out.otherwise(labels[-1])
 
@@ -70,15 +74,15 @@ def bin_column(value: Column, edges: list[float], labels: list[str] | None = Non
 def bin_sql(column: str, edges: list[float], labels: list[str] | None = None, quote: str = '"') -> str:
     labels = labels or labels_of(edges)
     name, text = f"{quote}{column}{quote}", lambda s: "'" + s.replace("'", "''") + "'"
-    arms = " ".join(f"WHEN {name} < {e:g} THEN {text(x)}" for e, x in zip(edges, labels))
+    arms = " ".join(f"WHEN {name} < {e:g} THEN {text(x)}" for e, x in zip(sorted(edges), labels))
     return f"CASE WHEN {name} IS NULL THEN NULL {arms} ELSE {text(labels[-1])} END"
 
 
 def bin_dax(table: str, column: str, edges: list[float], labels: list[str] | None = None) -> str:
     labels = labels or labels_of(edges)
     name, text = f"'{table}'[{column}]", lambda s: '"' + s.replace('"', '""') + '"'
-    arms = ", ".join(f"{name} < {e:g}, {text(x)}" for e, x in zip(edges, labels))
-    return f"SWITCH(TRUE(), ISBLANK({name}), BLANK(), {arms}, {text(labels[-1])})"
+    arms = "".join(f"{name} < {e:g}, {text(x)}, " for e, x in zip(sorted(edges), labels))
+    return f"SWITCH(TRUE(), ISBLANK({name}), BLANK(), {arms}{text(labels[-1])})"
 
 
 # ---------------------------------------------------------------- thresholds
@@ -160,7 +164,7 @@ def detect_threshold(buckets: list[Bucket], min_jump: float = 0.10, min_ratio: f
         if gap > jump + 1e-12:
             best, jump = i, gap
     below, above = fit.x[best] / fit.n[best], (fit.x[-1] - fit.x[best]) / (fit.n[-1] - fit.n[best])
-    test = stats.proportions(fit.x[-1] - fit.x[best], fit.n[-1] - fit.n[best], fit.x[best], fit.n[best], alpha)
+    test = stats.proportions(fit.x[-1] - fit.x[best], fit.n[-1] - fit.n[best], fit.x[best], fit.n[best])
     hi, lo = max(below, above), min(below, above)
     ratio = hi / lo if lo > 0 else math.inf
     cuts, r2 = [], fit.steps([])
@@ -173,7 +177,7 @@ def detect_threshold(buckets: list[Bucket], min_jump: float = 0.10, min_ratio: f
         r2 = top
     line = fit.line()
     gain = (r2 - line) / (1 - line) if line < 1 - 1e-9 else 0.0
-    recommend = (jump >= min_jump or ratio >= min_ratio) and bool(test.significant) and gain >= min_gain
+    recommend = (jump >= min_jump or ratio >= min_ratio) and bool(test.below(alpha)) and gain >= min_gain
     rates = [b.rate for b in buckets]
     rising = sum(b > a for a, b in zip(rates, rates[1:])) / (len(rates) - 1)
     kind = "cliff" if recommend else "monotone" if rising >= 0.8 else "non_monotone" if rising <= 0.5 else "flat"

@@ -67,8 +67,8 @@ def test_thresholds(rates, kind):
 
 def test_staircase_has_two_cuts():
     assert bins.detect_threshold(bucket([0.1] * 16 + [0.58] * 5 + [0.77] * 10)).cuts == (16.0, 21.0)
-    assert bins.labels_of([16, 21]) == ["<16", "16-20", "21+"]
-    assert "WHEN \"x\" < 16 THEN '<16'" in bins.bin_sql("x", [16, 21]) and "SWITCH" in bins.bin_dax("T", "x", [16])
+    assert bins.labels_of([21, 16]) == ["0-15", "16-20", "21+"] and bins.labels_of([]) == ["all"] and bins.labels_of([0.5, 2]) == ["<0.5", "0.5-2", "2+"]
+    assert "WHEN \"x\" < 16 THEN '0-15'" in bins.bin_sql("x", [16, 21]) and "SWITCH" in bins.bin_dax("T", "x", [16])
 
 
 @pytest.mark.parametrize("parts", [1, 7])

@@ -143,7 +143,8 @@ def test_metrics_and_questions():
     asked = {"what's our conversion rate?": 1, "conversion by device": 2, "why did conversion drop?": 3, "forecast Q4 revenue": 4, "should we A/B test the new checkout?": 5, "top 10 products": 2, "what sample size do we need?": 5, "will revenue reach 1M?": 4}
     assert {q: semantic.classify(q)["level"] for q in asked} == asked
     assert semantic.period_hints("from Q3 to Q1") == {"p1": "Q1", "p2": "Q3"} and semantic.period_hints("q1?")["p1"] == "Q4"
-    assert semantic.plan_run("why?")["estimated_queries"] > semantic.plan_run("what is it")["estimated_queries"]
+    assert [semantic.plan_run(q)["estimated_queries"] for q in ("what is it", "sales by region", "why?", "forecast sales", "holdout?")] == [35, 43, 80, 43, 35]
+    assert semantic.classify("who buys the projector stand")["level"] == 4 and semantic.classify("bypass rate")["level"] == 1
 
 
 def test_binding(spark):
