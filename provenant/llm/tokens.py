@@ -7,7 +7,8 @@ are dealt to shards by range. A shard is one file:
     | ends: Elias-Fano of the running token counts | ids: Elias-Fano of doc_id - least id | the token ids, 2 or 4 bytes each
 
 Elias-Fano keeps n increasing values below u in about n * (2 + log2(u / n)) bits: low bits packed, high bits in unary,
-and the position of every 256th one in 32 bits, so ``select`` reads a few words and no table of 64-bit offsets exists.
+and the position of every 256th one in 32 bits, so ``select`` reads a few words and no table of 64-bit offsets exists; the reader selects the
+boundaries of a batch of documents at a time.
 
 Words between ASCII white space are encoded apart from one another, once per word form, and remembered up to a bound:
 this tokenizer's normaliser and pre-tokeniser never reach across white space, nor from an ASCII letter into the marks that
@@ -27,6 +28,7 @@ import struct
 import threading
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -104,12 +106,21 @@ class EliasFano:
             low |= (int(self.low[(first + k) >> 3]) >> ((first + k) & 7) & 1) << k
         return ((position - i) << self.low_bits) | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
-        values = (ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1, from the sample before a and the bits up to the sample after b: what select does, for a batch."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.empty(0, np.uint64)
+        start, after = int(self.samples[a // self.STEP]), -(-b // self.STEP)
+        stop = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[start // 8:stop], bitorder="little")) + start // 8 * 8
+        ones = ones[ones >= start][a % self.STEP:][: b - a].astype(np.uint64)
+        values = (ones - np.arange(a, b, dtype=np.uint64)) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            values |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+            first = a * self.low_bits
+            bits = np.unpackbits(self.low[first // 8:-(-b * self.low_bits // 8)], bitorder="little")[first % 8:][: (b - a) * self.low_bits]
+            values |= (bits.reshape(b - a, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
         return values
 
     def dump(self) -> bytes:
@@ -251,7 +262,7 @@ def _write_shard(rows: Iterator[tuple], path: str, params: Params, encoder: Enco
     fs.create_dir(where.rsplit("/", 1)[0], recursive=True)
     mark = uuid.uuid4().hex[:8]
     body, whole = f"{where}.{mark}.ids", f"{where}.{mark}.tmp"
-    doc_ids, ends, total, nulls = [], [], 0, 0
+    doc_ids, ends, total, nulls = array("q"), array("Q"), 0, 0
     with fs.open_output_stream(body) as out:
         for piece in _pieces(rows, params.chars_at_once):
             coded = encoder.encode_many([text for _, text in piece])
@@ -264,8 +275,8 @@ def _write_shard(rows: Iterator[tuple], path: str, params: Params, encoder: Enco
                 else:
                     doc_ids.append(doc_id)
     least = doc_ids[0] if doc_ids else 0
-    end_part = EliasFano.encode(np.array(ends, np.uint64)).dump()
-    id_part = EliasFano.encode((np.array(doc_ids, np.int64) - np.int64(least)).astype(np.uint64)).dump()
+    end_part = EliasFano.encode(np.frombuffer(ends, np.uint64)).dump()
+    id_part = EliasFano.encode((np.frombuffer(doc_ids, np.int64) - np.int64(least)).astype(np.uint64)).dump()
     with fs.open_output_stream(whole) as out, fs.open_input_stream(body) as source:
         out.write(MAGIC + HEADER.pack(len(ends), nulls, total, params.width, least % 2**64, len(end_part), len(id_part), total * params.width))
         out.write(end_part)
@@ -320,8 +331,14 @@ class Shard:
     def offset(self, i: int) -> int:
         return self.ends.select(i - 1) if i else 0
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + ((self._ids.all().astype(np.int64)) + np.int64(self.least)).tolist()
+    def doc_ids(self, a: int, b: int) -> list[int | None]:
+        """Of documents a to b - 1; null ids come first."""
+        known = self._ids.select_range(max(a - self.nulls, 0), max(b - self.nulls, 0)).astype(np.int64) + np.int64(self.least)
+        return [None] * (min(b, self.nulls) - min(a, self.nulls)) + known.tolist()
+
+    def bounds(self, a: int, b: int) -> np.ndarray:
+        """Where documents a to b - 1 start, and where the last of them ends."""
+        return np.concatenate([[self.offset(a)], self.ends.select_range(a, b).astype(np.int64)])
 
     def read(self, start: int, end: int) -> np.ndarray:
         self.file.seek(self.body + start * self.width)
@@ -345,13 +362,11 @@ def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]]) -> Data
         for b in batches:
             for path, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 s = Shard(path)
-                ends = s.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = s.doc_ids()
                 for k in range(0, s.documents, 2000):
-                    part = slice(k, min(k + 2000, s.documents))
-                    crc = [zlib.crc32(s.read(x, y).astype("<u4").tobytes()) for x, y in zip(starts[part].tolist(), ends[part].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[part], pa.int64()), pa.array(starts[part] + before), pa.array(ends[part] - starts[part]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    last = min(k + 2000, s.documents)
+                    at = s.bounds(k, last)
+                    crc = [zlib.crc32(s.read(x, y).astype("<u4").tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids(k, last), pa.int64()), pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
         release()
 
     names = spark.createDataFrame(rows, "shard int, path string, base bigint")
