@@ -6,8 +6,9 @@ weights between the labels of neighbouring words are learned with them. Forward-
 labels, exactly and over the whole text; the mean over words with a letter is the document's, so code-switched text is
 labelled word by word before it is summed up.
 
-Training takes a bounded sample of labelled documents: of the ``most_labels`` commonest labels about ``per_label``
-documents each, chosen by hash, and of each document a run of ``piece`` words at a hashed place. Half of it makes the
+Training takes a bounded sample of labelled documents: of every label about ``per_label`` distinct texts, chosen by hash (a
+text once, however many copies it has), and of each a run of ``piece`` words at a hashed place. More than ``most_labels``
+labels are refused, never left out; weights and emissions take 4 bytes per label and bucket or word. Half of it makes the
 lexicons (words in two or more documents), half the sequences: runs from different documents are strung together, so that
 transitions between languages are seen. The driver fits the weights by gradient steps on the conditional likelihood.
 
@@ -33,7 +34,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Params:
-    most_labels: int = 64
+    most_labels: int = 2000
     per_label: int = 240
     piece: int = 120
     buckets: int = 1 << 15
@@ -210,7 +211,9 @@ def _train(pieces: list[tuple[str, list[str]]], labels: list[str], params: Param
 def train(labelled: DataFrame, params: Params = Params(), text: str = "text", lang: str = "lang") -> Model:
     """Fits the model; the driver gets at most 2 * per_label runs of ``piece`` words per label."""
     rows = labelled.select(labelled[text].cast("string").alias("t"), labelled[lang].cast("string").alias("y")).where("t is not null and y is not null")
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "y").limit(params.most_labels).collect()}
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).limit(params.most_labels + 1).collect()}
+    if len(counts) > params.most_labels:
+        raise ValueError(f"more than {params.most_labels} labels")
     labels = sorted(counts)
     if not labels:
         return Model([], {}, params)
@@ -221,7 +224,8 @@ def train(labelled: DataFrame, params: Params = Params(), text: str = "text", la
     chosen = rows.withColumn("h", h).where(F.pmod("h", F.lit(1_000_000)) < rate * 1_000_000)
     place = F.pmod(F.shiftrightunsigned("h", 20), F.greatest(F.lit(1), F.size("ws") - params.piece + 1)).cast("int") + 1
     cut = chosen.select("y", "h", words(F.lower("t")).alias("ws")).select("y", "h", F.slice("ws", place, F.lit(params.piece)).alias("ws"))
-    pieces = cut.limit(2 * params.per_label * len(labels)).collect()
+    most = 4 * params.per_label * len(labels)  # far above what the rates let through of distinct texts
+    pieces = cut.dropDuplicates(["h", "y"]).orderBy("h", "y").limit(most).collect()
     return _train([(r["y"], r["ws"]) for r in sorted(pieces, key=lambda r: (r["h"], r["y"], r["ws"]))], labels, params)
 
 
@@ -272,7 +276,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by Params: weights, transitions, lexicons
-    at_once = model.params.words_at_once
+    at_once = max(20_000, 4 * model.params.words_at_once // max(4, len(model.labels)))  # words times labels are bounded
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
