@@ -112,3 +112,19 @@ def test_components(spark):
             if a != b:
                 label[a] = label[b] = min(label[a], label[b])
     assert got == label
+
+
+def test_components_by_shuffles_and_in_one_task_agree(spark):
+    from provenant.llm.common import Tables, components, joined_components
+
+    rng = random.Random(6)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(k, k + 1) for k in range(1000, 1040)] + [(7, 7)]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)]
+    tables, made = Tables(spark, "t"), {}
+    for few in (0, 10**6):
+        labels = components(spark.createDataFrame(links, "a long, b long"), tables, few)
+        both = joined_components(labels, tables.put(spark.createDataFrame(more, "a long, b long")), tables, few)
+        made[few] = [sorted(map(tuple, x.collect())) for x in (labels, both)]
+    assert made[0] == made[10**6]
+    whole = components(spark.createDataFrame(links + more, "a long, b long"), tables)
+    assert sorted(map(tuple, whole.collect())) == made[0][1]
