@@ -3,7 +3,7 @@
 One pattern finds candidates in a text; each is validated (checksum, calendar, ranges), permuted within its format under
 a key, and put back in place. The permutation of a kind is an alternating Feistel network over a domain written as a
 product a * b: rounds add a keyed hash of one half to the other, modulo its size, so it is a bijection of the valid
-values, equal values get equal pseudonyms in all documents, and the holder of the key can invert it.
+values, equal values get equal pseudonyms in all documents, and the holder of the key can invert it (``restore``).
 
     card     13 to 19 digits with a Luhn check; the first digit and the separators stay, the check digit is made anew
     phone    North American numbers with area and exchange 200 to 999, and any ten digits written with a + or the area in
@@ -20,11 +20,13 @@ start a candidate cost one scan. Everything is an expression on the row: no shuf
 Defined results: a null text stays null with counts of 0; an empty text stays empty; repeated rows get equal results; an
 empty table has no rows; of overlapping candidates the first from the left counts. Pseudonyms are permutations and not
 erasure: who holds the key can undo them, and a network may map a value to itself with the chance of one in its domain.
+``restore`` gives back every value; what its writing had beyond the value is lost: leading zeros of an octet, and whether
+a day or month of d.m.yyyy and m/d/yyyy was padded. There is no default key; an empty one is refused.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +36,23 @@ from .common import table
 
 @dataclass(frozen=True)
 class Params:
-    key: str = "set a secret key"
+    key: str
     rounds: int = 8
+    #: Undo the permutations instead of applying them.
+    inverse: bool = False
+
+    def __post_init__(self) -> None:
+        if not self.key:
+            raise ValueError("pseudonyms need a secret key")
+        if self.rounds < 4:
+            raise ValueError("fewer than 4 rounds do not mix both halves")
+
+    def turns(self) -> Column:
+        """The rounds in the order in which they are made or undone."""
+        return F.sequence(F.lit(self.rounds - 1), F.lit(0), F.lit(-1)) if self.inverse else F.sequence(F.lit(0), F.lit(self.rounds - 1))
+
+    def moved(self, value: Column, by: Column, size: Column) -> Column:
+        return F.pmod(value - by if self.inverse else value + by, size)
 
 
 #: Candidates in order of precedence; possessive quantifiers keep the scan linear.
@@ -69,7 +86,7 @@ def feistel(a: Column, b: Column, size_a: Column, size_b: Column, kind: str, par
     """A struct (a, b): the keyed permutation of range(size_a) x range(size_b)."""
     def add(value: Column, other: Column, size: Column, i: Column) -> Column:
         said = F.concat_ws("|", F.lit(params.key), F.lit(kind), size_a.cast("string"), size_b.cast("string"), i.cast("string"), other.cast("string"))
-        return F.pmod(value + F.pmod(F.conv(F.substring(F.sha2(said, 256), 1, 15), 16, 10).cast("bigint"), size), size)
+        return params.moved(value, F.pmod(F.conv(F.substring(F.sha2(said, 256), 1, 15), 16, 10).cast("bigint"), size), size)
 
     def step(acc: Column, i: Column) -> Column:
         left = F.struct(add(acc["a"], acc["b"], size_a, i).alias("a"), acc["b"].alias("b"))
@@ -77,7 +94,7 @@ def feistel(a: Column, b: Column, size_a: Column, size_b: Column, kind: str, par
         return F.when(i % 2 == 0, left).otherwise(right)
 
     start = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(params.rounds - 1)), start, step)
+    return F.aggregate(params.turns(), start, step)
 
 
 def _fill(shape: Column, digits: Column) -> Column:
@@ -192,7 +209,7 @@ def _shift(own: Column, other: Column, i: Column, p: Params) -> Column:
     def moved(c: Column, k: Column) -> Column:
         said = F.concat_ws("|", F.lit(p.key), F.lit("email"), i.cast("string"), k.cast("string"), other)
         by = F.conv(F.substring(F.sha2(said, 256), 1, 8), 16, 10).cast("bigint")
-        turn = lambda zero, n: F.char(F.pmod(F.ascii(c) - ord(zero) + F.pmod(by, F.lit(n).cast("bigint")), F.lit(n).cast("bigint")) + ord(zero))
+        turn = lambda zero, n: F.char(p.moved(F.ascii(c) - ord(zero), F.pmod(by, F.lit(n).cast("bigint")), F.lit(n).cast("bigint")) + ord(zero))
         return F.when(c.rlike("[a-z]"), turn("a", 26)).when(c.rlike("[A-Z]"), turn("A", 26)).when(c.rlike("[0-9]"), turn("0", 10)).otherwise(c)
 
     return F.array_join(F.transform(F.split(own, ""), moved), "")
@@ -208,7 +225,7 @@ def _email(m: Column, p: Params) -> Column:
             return F.when(i % 2 == 0, left).otherwise(right)
 
         start = F.struct(F.substring(local, F.lit(1), half).alias("a"), F.substring(local, half + 1, F.length(local)).alias("b"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, step, lambda acc: F.concat(acc["a"], acc["b"], F.substring(m, F.length(local) + 1, F.length(m))))
+        return F.aggregate(p.turns(), start, step, lambda acc: F.concat(acc["a"], acc["b"], F.substring(m, F.length(local) + 1, F.length(m))))
 
     return let(F.substring_index(m, "@", 1), of)
 
@@ -228,7 +245,7 @@ def pseudonym(m: Column, params: Params) -> Column:
     return tried(KINDS)
 
 
-def pseudonymise(docs: DataFrame, params: Params = Params(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def pseudonymise(docs: DataFrame, params: Params, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, text with pseudonyms, n_replaced, and n_<kind> for each kind."""
     t = docs[text].cast("string")
     found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
@@ -252,8 +269,18 @@ def pseudonymise(docs: DataFrame, params: Params = Params(), text: str = "text",
     return rows.select("doc_id", F.coalesce(F.col("_done.text"), F.col("_t")).alias("text"), total.alias("n_replaced"), *[c.alias(f"n_{k}") for c, k in zip(counts, KINDS)])
 
 
+def restore(docs: DataFrame, params: Params, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """The documents that ``pseudonymise`` was given, by the key it was given; the same columns."""
+    return pseudonymise(docs, replace(params, inverse=True), text, id_column)
+
+
+#: The session setting with the secret key. Where it is unset the query takes a public one, which hides nothing: the
+#: tables here are synthetic.
+KEY_SETTING, PUBLIC_KEY = "spark.provenant.pii.key", "public key of the synthetic tables"
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), Params(spark.conf.get(KEY_SETTING, PUBLIC_KEY)))
 
 
 QUERIES = {"op9_pii": op9_pii}
