@@ -165,15 +165,26 @@ def impact(issues: list[Issue]) -> list[dict]:
     return [{"issue": f"{i.module}:{i.column or '*'}", "severity": i.severity, "rows": i.count, "impact": IMPACT.get(i.module, "not assessed")} for i in issues]
 
 
+#: How each warehouse makes a view, and its quotes.
+DIALECTS = {
+    "spark": ("CREATE OR REPLACE TEMPORARY VIEW", "``"), "databricks": ("CREATE OR REPLACE VIEW", "``"), "bigquery": ("CREATE OR REPLACE VIEW", "``"),
+    "duckdb": ("CREATE OR REPLACE VIEW", '""'), "postgres": ("CREATE OR REPLACE VIEW", '""'), "snowflake": ("CREATE OR REPLACE VIEW", '""'), "redshift": ("CREATE OR REPLACE VIEW", '""'),
+    "fabric": ("CREATE OR ALTER VIEW", "[]"), "sqlserver": ("CREATE OR ALTER VIEW", "[]"),
+}
+
+
 def warehouse_ddl(table: str, view: str, columns: dict[str, str], distinct: bool = False, dialect: str = "spark") -> str:
     """CREATE VIEW text for a warehouse; it is never run."""
-    create = {"spark": "CREATE OR REPLACE TEMPORARY VIEW", "databricks": "CREATE OR REPLACE VIEW", "duckdb": "CREATE OR REPLACE VIEW", "postgres": "CREATE OR REPLACE VIEW", "snowflake": "CREATE OR REPLACE VIEW", "bigquery": "CREATE OR REPLACE VIEW", "redshift": "CREATE OR REPLACE VIEW"}
-    if dialect not in create:
-        raise ValueError(f"no dialect {dialect}; there are {', '.join(sorted(create))}")
-    mark = "`" if dialect in ("spark", "databricks", "bigquery") else '"'
-    quoted = lambda n: mark + n.replace(mark, mark * 2) + mark
+    if dialect not in DIALECTS:
+        raise ValueError(f"no dialect {dialect}; there are {', '.join(sorted(DIALECTS))}")
+    create, (left, right) = DIALECTS[dialect]
+    quoted = lambda n: left + n.replace(right, right * 2) + right
     extra = "".join(f",\n  {e} AS {quoted(n)}" for n, e in columns.items())
-    return f"{create[dialect]} {quoted(view)} AS\nSELECT {'DISTINCT ' if distinct else ''}*{extra}\nFROM {quoted(table)}"
+    return f"{create} {quoted(view)} AS\nSELECT {'DISTINCT ' if distinct else ''}*{extra}\nFROM {quoted(table)}"
+
+
+def ddl_of_all_dialects(table: str, view: str, columns: dict[str, str], distinct: bool = False) -> dict[str, str]:
+    return {d: warehouse_ddl(table, view, columns, distinct, d) for d in DIALECTS}
 
 
 def audit_script(path: str, columns: dict[str, str], distinct: bool = False) -> str:

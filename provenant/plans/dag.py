@@ -45,11 +45,17 @@ class State:
     path: str | None = None
     outputs: dict = field(default_factory=dict)
     status: dict = field(default_factory=dict)
+    #: open, complete or failed.
+    standing: str = "open"
 
     def save(self) -> None:
         if self.path:
             Path(self.path).parent.mkdir(parents=True, exist_ok=True)
-            Path(self.path).write_text(json.dumps({"outputs": {k: v for k, v in self.outputs.items() if _plain(v)}, "status": self.status}))
+            Path(self.path).write_text(json.dumps({"outputs": {k: v for k, v in self.outputs.items() if _plain(v)}, "status": self.status, "standing": self.standing}))
+
+    def end(self, standing: str) -> None:
+        self.standing = standing
+        self.save()
 
     @classmethod
     def load(cls, path: str) -> State:
@@ -60,6 +66,17 @@ class State:
         return cls(path, {k: saved["outputs"][k] for k in done}, {k: "done" for k in done})
 
 
+def runs(folder: str) -> list[dict]:
+    """The runs whose states (<run>.json) lie in a folder, the latest first: run, standing, steps done, steps failed."""
+    out = []
+    for p in sorted(Path(folder).glob("*.json"), key=lambda p: (-p.stat().st_mtime_ns, p.name)):
+        saved = json.loads(p.read_text())
+        if "status" in saved and "outputs" in saved:
+            named = lambda s: [k for k, v in saved["status"].items() if v == s]
+            out.append({"run": p.stem, "standing": saved.get("standing", "open"), "done": named("done"), "failed": named("failed")})
+    return out
+
+
 def _plain(v: object) -> bool:
     try:
         json.dumps(v)
@@ -117,8 +134,11 @@ def run_graph(spark: SparkSession | None, nodes: list[Node], state: State | None
             state.status[n.name], state.outputs[n.name] = s, v if s == "done" else None
         state.save()
         bad = next(((n, e) for n, e in failures if n.critical), None)
+        if bad or len(failures) >= breaker:
+            state.end("failed")
         if bad:
             raise StepFailed(f"{bad[0].name}: {bad[1]}") from bad[1]
         if len(failures) >= breaker:
             raise StepFailed(f"{len(failures)} steps of one tier failed")
+    state.end("complete")
     return state

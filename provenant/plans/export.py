@@ -55,6 +55,13 @@ def _exec(report: dict) -> str:
     return f"{report['title']}: {k} {v}. {report.get('recommendation', '')}".strip()
 
 
+@exporter("dax")
+def _dax(report: dict) -> str:
+    """The measures of a report (name, expression, format, confidence), each with how it came about."""
+    parts = [f"-- {m.confidence}\n{m.name} =\n    {m.expression}\n" for m in report.get("measures", ())]
+    return f"-- {report['title']}\n\n" + "\n".join(parts)
+
+
 def emit(name: str, report: dict, ledger: Ledger) -> str:
     """The report in a format; an unknown format and a number without evidence are refused."""
     if name not in EXPORTERS:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import deque
 from dataclasses import dataclass
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..sources.store import read_text, write_text
 from .guard import Budget, assert_read_only, estimated_bytes
 
 
@@ -20,14 +21,18 @@ def query_hash(text: str, source: str, dialect: str = "spark") -> str:
     return hashlib.sha256("\x1f".join([dialect, source, " ".join(text.split())]).encode()).hexdigest()[:16]
 
 
-def result_hash(df: DataFrame, digits: int = 6) -> str:
-    """Of the rows in whatever order: a sum of row hashes and their count, in one aggregation. Doubles are rounded, as the
-    order of a sum moves their last digits; columns go by name."""
+def digest(df: DataFrame, digits: int = 6) -> tuple[int, str]:
+    """The count of rows and a hash of them in whatever order: a sum of row hashes, in the same aggregation. Doubles are
+    rounded, as the order of a sum moves their last digits; columns go by name."""
     names = sorted(df.columns)
     values = [F.round(col(n), digits) if dict(df.dtypes)[n] in ("double", "float") else col(n).cast("string") for n in names]
     row = F.xxhash64(*[F.coalesce(v.cast("string"), F.lit("\x00null")) for v in values]) if names else F.lit(0)
     n, total = df.agg(F.count("*"), F.sum(row.cast("decimal(38,0)"))).first()
-    return hashlib.sha256(json.dumps([names, n, str(total)]).encode()).hexdigest()[:16]
+    return n, hashlib.sha256(json.dumps([names, n, str(total)]).encode()).hexdigest()[:16]
+
+
+def result_hash(df: DataFrame, digits: int = 6) -> str:
+    return digest(df, digits)[1]
 
 
 @dataclass(frozen=True)
@@ -45,10 +50,24 @@ class Run:
 
 
 class Engine:
-    """The one way to a result: read-only check, budget, execution, hashes, storage."""
+    """The one way to a result: read-only check, budget, execution, hashes, storage.
 
-    def __init__(self, spark: SparkSession, source: str = "session", budget: Budget | None = None, store: QueryStore | None = None):
+    The last ``most_cached`` results stay cached; an older one is computed anew if it is asked again."""
+
+    def __init__(self, spark: SparkSession, source: str = "session", budget: Budget | None = None, store: QueryStore | None = None, most_cached: int = 8):
         self.spark, self.source, self.budget, self.store = spark, source, budget or Budget(), store
+        self.most_cached, self._cached = most_cached, deque()
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
+
+    def release(self, keep: int = 0) -> None:
+        """Gives back the memory of all results but the last ``keep``."""
+        while len(self._cached) > keep:
+            self._cached.popleft().unpersist()
 
     def run(self, query: str | DataFrame, text: str | None = None, most_bytes: int | None = None) -> Run:
         """``query``: SQL text, or a DataFrame with a text that names it. The result is cached for its hash and its use."""
@@ -62,29 +81,34 @@ class Engine:
             raise ValueError(f"the query reads about {size} bytes of at most {most_bytes}")
         self.budget.charge(size)
         df = df.cache()
-        out = Run(df, query_hash(text, self.source), result_hash(df), self.source, text, df.count(), datetime.now(timezone.utc).isoformat())
+        self._cached.append(df)
+        self.release(self.most_cached)
+        n, rows = digest(df)
+        out = Run(df, query_hash(text, self.source), rows, self.source, text, n, datetime.now(timezone.utc).isoformat())
         if self.store:
             self.store.put(out)
         return out
 
 
 class QueryStore:
-    """Queries as JSON beside their results as Parquet, by hash."""
+    """Queries as JSON beside their results as Parquet, by hash, in a folder that driver and executors share."""
 
     def __init__(self, folder: str):
-        self.folder = Path(folder)
+        self.folder = str(folder).rstrip("/")
 
     def put(self, run: Run) -> None:
-        self.folder.mkdir(parents=True, exist_ok=True)
         meta = {"query_hash": run.query_hash, "result_hash": run.result_hash, "source": run.source, "text": run.text, "row_count": run.row_count, "ts": run.ts}
-        (self.folder / f"{run.query_hash}.json").write_text(json.dumps(meta, indent=1))
-        run.df.write.mode("overwrite").parquet(str(self.folder / f"{run.result_hash}.parquet"))
+        run.df.write.mode("overwrite").parquet(f"{self.folder}/{run.result_hash}.parquet")
+        write_text(f"{self.folder}/{run.query_hash}.json", json.dumps(meta, indent=1))
 
     def query(self, qh: str) -> dict:
-        return json.loads((self.folder / f"{qh}.json").read_text())
+        text = read_text(f"{self.folder}/{qh}.json")
+        if text is None:
+            raise KeyError(f"no query {qh} in {self.folder}")
+        return json.loads(text)
 
     def result(self, spark: SparkSession, rh: str) -> DataFrame:
-        return spark.read.parquet(str(self.folder / f"{rh}.parquet"))
+        return spark.read.parquet(f"{self.folder}/{rh}.parquet")
 
     def verify(self, spark: SparkSession, qh: str) -> bool:
         """Whether the stored result still has the hash that was recorded."""
@@ -96,12 +120,11 @@ class QueryArchive:
     """Proven queries, found again by source, metric and the overlap of tags."""
 
     def __init__(self, path: str):
-        self.path = Path(path)
-        self.rows = [json.loads(x) for x in self.path.read_text().splitlines()] if self.path.exists() else []
+        self.path = str(path)
+        self.rows = [json.loads(x) for x in (read_text(self.path) or "").splitlines()]
 
     def _save(self) -> None:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        self.path.write_text("".join(json.dumps(r) + "\n" for r in self.rows))
+        write_text(self.path, "".join(json.dumps(r) + "\n" for r in self.rows))
 
     def add(self, source: str, metric: str, text: str, tags: list[str]) -> None:
         key = query_hash(text, source)

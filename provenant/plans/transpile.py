@@ -8,7 +8,8 @@ from py4j.protocol import Py4JError
 from pyspark.errors import ParseException
 from pyspark.sql import SparkSession
 
-from .semantic import Metric
+from ..operators.model.tiers import TierPolicy
+from .semantic import METRICS, Metric
 
 
 class CannotTranslate(ValueError):
@@ -169,6 +170,53 @@ def measure_of(spark: SparkSession, metric: Metric, table: str, columns: set[str
     return Measure(name, written or transpile(spark, metric.expression, table, columns), FORMATS.get(metric.unit, ""), "override" if written else "exact")
 
 
+def bound_measures(table: str, target: str, entity: str, numeric: tuple[str, ...] = (), value: str | None = None, scores: str = "RiskScores", policy: TierPolicy = TierPolicy()) -> list[Measure]:
+    """Measures from the columns that an analysis bound to its roles: how many entities, how many with the outcome, means of
+    the numeric columns on both sides of it, and the tiers with a check that file and model agree on them."""
+    at = lambda t, c: f"'{t}'[{c.replace(']', ']]')}]"
+    having = lambda what, v: f"CALCULATE({what}, {at(table, target)} = {v})"
+    riskiest, tier = policy.bands[-1][0], at(scores, "risk_tier")
+    out = [
+        Measure("Entities", f"DISTINCTCOUNT({at(table, entity)})", FORMATS["count"], "bound"),
+        Measure("Entities with Outcome", having("[Entities]", 1), FORMATS["count"], "bound"),
+        Measure("Outcome Rate", "DIVIDE([Entities with Outcome], [Entities])", FORMATS["ratio"], "bound"),
+    ]
+    for c in numeric:
+        mean = f"AVERAGE({at(table, c)})"
+        out += [Measure(f"Mean {c} {side}", having(mean, v), '"0.0"', "bound") for v, side in ((1, "with Outcome"), (0, "without Outcome"))]
+    out.append(Measure(f"{riskiest} Tier Entities", f'CALCULATE([Entities], {tier} = "{riskiest}")', FORMATS["count"], "bound"))
+    if value:
+        out.append(Measure(f"{riskiest} Tier Value", f'CALCULATE(SUM({at(table, value)}), {tier} = "{riskiest}")', FORMATS["currency"], f"assumes that {value} is the value at risk"))
+    again = policy.dax(scores)
+    out.append(Measure("Tier Mismatches", f"COUNTROWS(FILTER('{scores}', {tier} <> {again}))", FORMATS["count"], "must be 0"))
+    return out
+
+
+def measures_of_all(spark: SparkSession, table: str, columns: set[str], metrics: dict[str, Metric] = METRICS) -> tuple[list[Measure], dict[str, str]]:
+    """The locked metrics that the table's columns allow, and for the others why not."""
+    made, refused = [], {}
+    for m in metrics.values():
+        try:
+            made.append(measure_of(spark, m, table, columns))
+        except CannotTranslate as e:
+            refused[m.name] = str(e)
+    return made, refused
+
+
+def project(name: str, tables: dict[str, dict[str, str]], measures: dict[str, list[Measure]], relationships: list[tuple[tuple[str, str], tuple[str, str]]] = ()) -> dict[str, str]:
+    """The text files of a semantic model by path: the model, a file per table, the relationships. A relationship to a
+    table or column that is not in the model is refused. Reports and layouts are not made."""
+    for t, c in (end for r in relationships for end in r):
+        if c not in tables.get(t, {}):
+            raise CannotTranslate(f"no column {c} in a table {t} of {name}")
+    root = f"{name}.SemanticModel/definition"
+    files = {f"{root}/model.tmdl": f"model '{name}'\n" + "".join(f"ref table '{t}'\n" for t in tables)}
+    files |= {f"{root}/tables/{t}.tmdl": table_tmdl(t, schema, measures.get(t, [])) for t, schema in tables.items()}
+    if relationships:
+        files[f"{root}/relationships.tmdl"] = "\n".join(relationship_tmdl(a, b) for a, b in relationships)
+    return files
+
+
 TYPES = {"bigint": "int64", "int": "int64", "smallint": "int64", "tinyint": "int64", "double": "double", "float": "double", "boolean": "boolean", "date": "dateTime", "timestamp": "dateTime", "timestamp_ntz": "dateTime"}
 
 

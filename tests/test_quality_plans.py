@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenant.operators.quality import clean, repairs, score
-from provenant.plans import dag, evidence, export, guard, playbooks, runlog, semantic, transpile
-from provenant.sources import registry
+from provenant.plans import copilots, dag, evidence, export, guard, playbooks, runlog, semantic, transpile
+from provenant.sources import registry, store
 from provenant.streaming import rates
 
 from .test_operators import churn, emea
@@ -257,3 +257,80 @@ def test_margin_parts_hold_every_segment(spark):
     found = playbooks.run_analysis(runlog.Engine(spark), df, "why did gross margin fall from Q1 to Q2?", "many", overrides={"dimension": "product_line"})["found"]
     assert len(found.findings) == 51 and found.findings[-1]["segment"] == "10 other segments" and any("10 segments" in x for x in found.notes)
     assert sum(x["total"] for x in found.findings) == pytest.approx(found.numbers["delta"], abs=1e-9)
+
+
+def test_results_beside_data_and_memory_given_back(spark, tmp_path):
+    where = f"file://{tmp_path}/a/b.json"
+    assert store.read_text(where) is None
+    store.write_text(where, "Füße\n")
+    store.write_text(where, "Füße 2\n")
+    assert store.read_text(where) == "Füße 2\n"
+    with runlog.Engine(spark, "s", store=runlog.QueryStore(f"file://{tmp_path}/q"), most_cached=1) as e:
+        a, b = e.run("SELECT 1 AS x UNION ALL SELECT 1"), e.run("SELECT 2 AS x")
+        assert not a.df.is_cached and b.df.is_cached and (a.row_count, b.row_count) == (2, 1) and b.scalar() == 2 and a.scalar() == 1
+        assert e.store.verify(spark, a.query_hash) and e.store.result(spark, a.result_hash).count() == 2
+        with pytest.raises(KeyError):
+            e.store.query("none")
+    assert not b.df.is_cached
+    empty = spark.createDataFrame([], "a int")
+    assert runlog.digest(empty)[0] == 0 and runlog.digest(empty) == runlog.digest(empty.repartition(3))
+
+
+def test_runs_are_listed(tmp_path):
+    def fail(_):
+        raise RuntimeError("no")
+
+    dag.run_graph(None, [dag.Node("a", lambda _: 1)], dag.State(str(tmp_path / "first.json")))
+    with pytest.raises(dag.StepFailed):
+        dag.run_graph(None, [dag.Node("a", lambda _: 1), dag.Node("b", fail, ("a",), retries=0)], dag.State(str(tmp_path / "second.json")))
+    dag.State(str(tmp_path / "third.json")).save()
+    (tmp_path / "other.json").write_text("{}")
+    assert {r["run"]: (r["standing"], r["done"], r["failed"]) for r in dag.runs(str(tmp_path))} == {"first": ("complete", ["a"], []), "second": ("failed", ["a"], ["b"]), "third": ("open", [], [])}
+    state = dag.State.load(str(tmp_path / "second.json"))
+    dag.run_graph(None, [dag.Node("a", fail), dag.Node("b", lambda got: got["a"] + 1, ("a",))], state)
+    assert state.outputs["b"] == 2 and next(r for r in dag.runs(str(tmp_path)) if r["run"] == "second")["standing"] == "complete"
+    assert dag.runs(str(tmp_path / "nothing")) == []
+
+
+def test_copilot_decides(spark, tmp_path):
+    df = dirty(spark)
+    first = copilots.COPILOTS["data-quality"](df, "dirty")
+    assert first["pending"] and first["score_after"] >= first["score_before"] and first["decision"] in ("GO-WITH-CAVEATS", "NO-GO") and first["reason"]
+    good = copilots.data_quality(spark.createDataFrame([(i, f"n{i}") for i in range(50)], "id int, name string"), "good")
+    assert good["applied"] == [] and good["ready"] and good["clean"].count() == 50
+    report = score.score_table(df)
+    assert copilots.decide(report, [], [], least=101).decision == "NO-GO" and copilots.decide(report, [], ["x:y"], least=0).decision == "NO-GO"
+    assert copilots.decide(report, ["x:y"], [], least=0) == copilots.Decision("GO-WITH-CAVEATS", True, "waiting for approval: x:y")
+    layer = clean.CleanLayer(df)
+    layer.apply()
+    j = evidence.Journal(str(tmp_path / "j"))
+    assert copilots.remember_repairs(j, "dirty", layer) == len(layer.applied) > 0 == copilots.remember_repairs(j, "dirty", layer)
+    assert copilots.recall_repairs(j, "dirty") == tuple(s.name for s in layer.applied) and copilots.recall_repairs(j, "else") == ()
+    with pytest.raises(ValueError):
+        copilots.copilot("data-quality")(lambda df, source: {})
+    assert copilots.next_actions(["a:b"], True, True, True) == ["approve or refuse the waiting repairs: a:b", "watch the driver that was found as a weekly figure"]
+    assert len(copilots.next_actions([], False, False)) == 2
+
+
+def test_measures_and_models(spark):
+    made = {m.name: m for m in transpile.bound_measures("Churn", "churned", "customer", ("tenure", "a]b"), "spend")}
+    assert made["Entities"].expression == "DISTINCTCOUNT('Churn'[customer])" and made["Entities with Outcome"].expression == "CALCULATE([Entities], 'Churn'[churned] = 1)"
+    assert "'Churn'[a]]b]" in made["Mean a]b with Outcome"].expression and made["High Tier Value"].expression == "CALCULATE(SUM('Churn'[spend]), 'RiskScores'[risk_tier] = \"High\")"
+    assert "SWITCH(TRUE()" in made["Tier Mismatches"].expression and "High Tier Value" not in {m.name for m in transpile.bound_measures("Churn", "churned", "customer")}
+    some, refused = transpile.measures_of_all(spark, "T", {"revenue", "cogs"})
+    assert {m.name for m in some} == {"Gross Margin", "Revenue", "Cogs"} and "no column" in refused["customer_churn_rate"] and len(refused) == 3
+    tables = {"T": {"id": "bigint"}, "U": {"id": "bigint", "x": "date"}}
+    files = transpile.project("Sales", tables, {"T": some}, [(("T", "id"), ("U", "id"))])
+    assert set(files) == {f"Sales.SemanticModel/definition/{n}.tmdl" for n in ("model", "tables/T", "tables/U", "relationships")}
+    assert "measure 'Revenue'" in files["Sales.SemanticModel/definition/tables/T.tmdl"] and "dataType: dateTime" in files["Sales.SemanticModel/definition/tables/U.tmdl"]
+    with pytest.raises(transpile.CannotTranslate):
+        transpile.project("Sales", tables, {}, [(("T", "nope"), ("U", "id"))])
+    text = export.emit("dax", {"title": "t", "numbers": {}, "measures": some}, evidence.Ledger())
+    assert "Revenue =\n    " in text and "-- exact" in text
+
+
+def test_all_dialects():
+    made = clean.ddl_of_all_dialects("t]x", "v", {"c": "trim(c)"}, True)
+    assert set(made) == set(clean.DIALECTS) and "[t]]x]" in made["sqlserver"] and made["fabric"].startswith("CREATE OR ALTER VIEW [v]") and '"t]x"' in made["duckdb"]
+    with pytest.raises(ValueError):
+        clean.warehouse_ddl("t", "v", {}, dialect="none")
