@@ -32,16 +32,18 @@ null doc_ids are reported as null; an empty table has no rows. Texts are told ap
 
 from __future__ import annotations
 
+import gc
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, Tables, mix64, release, table
+from .common import GOLDEN, Tables, components, mix64, release, table
 
 WIDE = (1 << 14) - 1
 SPANS = "a bigint, b bigint, start bigint, n_words bigint, of_start bigint, similarity double"
@@ -53,9 +55,9 @@ class Params:
     shingle: int = 5
     similarity: float = 0.8
     hashes: int = 4
-    rounds: int = 1
     words_at_once: int = 400_000
     block: int = 8192
+    few: int = 4
     seed: int = 97
 
     @property
@@ -117,15 +119,16 @@ def tokens(text: bytes, size: int) -> np.ndarray:
     return tokens_of([text], size)[0]
 
 
-def compact_windows(tok: np.ndarray, doc: np.ndarray, t: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(value, c, l, r) of all compact windows of at least t tokens under one hash function.
+def passages(tok: np.ndarray, doc: np.ndarray, t: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each token with its place, c, first, last, value of c): the tokens that are the least of a passage of t tokens under one hash
+    function, and the first and last start of the passages each is the least of.
 
     tok: the tokens of several texts on end; doc: the index of each token's text, ascending. Of equal hashes the first
     counts as the least.
     """
     n, empty = len(tok), np.empty(0, np.int64)
     if n < t:
-        return np.empty(0, np.uint64), empty, empty, empty
+        return np.empty(0, np.uint64), empty, empty, empty, np.empty(0, np.uint64)
     value = mix64(tok ^ mix64(np.array([seed], np.uint64))[0])
     packed = (value & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     low, width = packed, 1
@@ -136,10 +139,18 @@ def compact_windows(tok: np.ndarray, doc: np.ndarray, t: int, seed: int) -> tupl
         low = np.minimum(low[: len(low) - (t - width)], low[t - width:])
     start = np.flatnonzero(doc[: n - t + 1] == doc[t - 1:])
     if not len(start):
-        return np.empty(0, np.uint64), empty, empty, empty
+        return np.empty(0, np.uint64), empty, empty, empty, np.empty(0, np.uint64)
     where = (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-    c, first, last = where[new], start[new], start[np.append(new[1:], len(start)) - 1]
+    c = where[new]
+    return packed, c, start[new], start[np.append(new[1:], len(start)) - 1], value[c]
+
+
+def compact_windows(tok: np.ndarray, doc: np.ndarray, t: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(value, c, l, r) of all compact windows of at least t tokens under one hash function."""
+    packed, c, first, last, value = passages(tok, doc, t, seed)
+    if not len(c):
+        return value, c, c, c
     begins = np.searchsorted(doc, doc[c], "left")
     ends = np.searchsorted(doc, doc[c], "right") - 1
     # the nearest smaller token at a distance of t or more is a node too; a nearer one ends the run of windows
@@ -155,7 +166,7 @@ def compact_windows(tok: np.ndarray, doc: np.ndarray, t: int, seed: int) -> tupl
         stack.append(q)
     l = np.where(first > c - t + 1, first, np.array(left))  # noqa: E741
     r = np.where(last < c, last + t - 1, np.array(right))
-    return value[c], c, l, r
+    return value, c, l, r
 
 
 def _pack(c: np.ndarray, first: np.ndarray, last: np.ndarray, j: np.ndarray | int = 0) -> np.ndarray:
@@ -183,8 +194,8 @@ def _piece(texts: list[tuple[int, bytes]], params: Params) -> list[pa.Array]:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tok * power[:len(tok)])])
     parts = []
     for j in range(params.hashes):
-        value, c, l, r = compact_windows(tok, doc, params.t, params.seed + j)  # noqa: E741
-        first, last, base = np.maximum(l, c - params.t + 1), np.minimum(r - params.t + 1, c), before[doc[c]]
+        _, c, first, last, value = passages(tok, doc, params.t, params.seed + j)
+        base = before[doc[c]]
         run = (total[last + params.t] - total[first]) * back[first]
         around = mix64(run ^ mix64(((c - first) << 32 | (last - first)).astype(np.uint64)))
         parts.append((value.view(np.int64), names[doc[c]], _pack(c - base, first - base, last - base, j), around.view(np.int64)))
@@ -197,11 +208,127 @@ def _piece(texts: list[tuple[int, bytes]], params: Params) -> list[pa.Array]:
     return [pa.array(x) for x in (value, text, span, around, sure)]
 
 
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+BLOBS = "bucket bigint, kind bigint, name bigint, x binary, y binary, z binary"
+_FIELDS = pa.schema([(n, pa.int64()) for n in ("bucket", "kind", "name")] + [(n, pa.binary()) for n in "xyz"])
+CELL, REPEAT, PAIR, ASKED, PART, TEXT = range(6)
+
+
+def _mixed(*columns: np.ndarray) -> np.ndarray:
+    """A hash of each row of some integer columns."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mix64(out * GOLDEN + c.view(np.uint64))
+    return out.view(np.int64)
+
+
+def _rows(columns: list[np.ndarray]) -> np.ndarray:
+    return np.stack([c.astype(np.int64, copy=False) for c in columns], 1)
+
+
+Dealt = tuple[int, np.ndarray, np.ndarray]
+
+
+def _buckets(spark: SparkSession) -> int:
+    return max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _blobs(made: Iterator[Dealt | pa.RecordBatch], buckets: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Of (kind, by, rows of integers): those of a bucket (``by`` modulo ``buckets``) as one row of bytes, so that a shuffle moves
+    arrays; with rows of differing length (PART) their places and tokens follow. A task gathers about ``most`` integers first,
+    whatever it was given at once, so there are no more of these rows than tasks times buckets, or than so many integers need."""
+    held, size = {}, 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind, several in held.items():
+            by, rows, *more = (np.concatenate(c) for c in zip(*several))
+            where = np.mod(by, buckets)
+            order = np.argsort(where, kind="stable")
+            where, rows = where[order], np.ascontiguousarray(rows[order])
+            at = np.append(np.flatnonzero(_starts(where)), len(where))
+            columns = [[rows[i:j].tobytes() for i, j in zip(at.tolist(), at[1:].tolist())]]
+            if more:
+                n = rows[:, -1]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                was = np.empty(len(n), np.int64)
+                was[order] = n
+                first = (np.cumsum(was) - was)[order]
+                pick = np.repeat(first - ends[:-1], n) + np.arange(ends[-1])
+                cut = ends[at].tolist()
+                columns += [[c[i:j].tobytes() for i, j in zip(cut, cut[1:])] for c in (m[pick] for m in more)]
+            n = len(at) - 1
+            columns = [pa.array(c, pa.binary()) for c in columns] + [pa.nulls(n, pa.binary())] * (3 - len(columns))
+            yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]], pa.int64()), pa.array(np.full(n, kind, np.int64)), pa.nulls(n, pa.int64()), *columns], schema=_FIELDS)
+
+    for x in made:
+        if isinstance(x, pa.RecordBatch):
+            yield x
+        elif len(x[1]):
+            held.setdefault(x[0], []).append(x[1:])
+            size += sum(c.size for c in x[1:])
+            if size > most:
+                yield from flush()
+                held.clear()
+                size = 0
+    yield from flush()
+    release()
+
+
+def _gathered(blobs: DataFrame, work, schema: str = BLOBS) -> DataFrame:
+    """The result of ``work`` on blobs, those of a bucket one after another, by kind."""
+    spark = blobs.sparkSession
+    parts, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), _buckets(spark)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _blobs(work(batches), buckets)
+
+    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(whole, schema)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[pa.RecordBatch]]]:
+    """For every bucket its blobs by kind."""
+    held, last = {}, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+        at = np.append(np.flatnonzero(_starts(bucket, kind)), b.num_rows)
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            if last is not None and bucket[i] != last:
+                yield held
+                held = {}
+            last = bucket[i]
+            held.setdefault(int(kind[i]), []).append(b.slice(i, j - i))
+    if held:
+        yield held
+
+
+def _bytes(held: list[pa.RecordBatch], column: int = 3) -> bytes:
+    return b"".join(x.as_buffer() for b in held for x in b.column(column))
+
+
+def _matrix(held: dict[int, list[pa.RecordBatch]], kind: int, width: int) -> np.ndarray:
+    return np.frombuffer(_bytes(held.get(kind, [])), np.int64).reshape(-1, width)
+
+
 def _ranges(df: DataFrame, params: Params) -> DataFrame:
-    """df: (key, text). Rows value, text, span, around, sure."""
-    names = ["value", "text", "span", "around", "sure"]
+    """df: (key, text). Rows value, text, span, around, sure, dealt by value; what is known to be shared goes anywhere, so
+    that no task gets all rows of a hot value."""
+    buckets = _buckets(df.sparkSession)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(piece: list[tuple[int, bytes]]) -> Dealt:
+        value, text, span, around, sure = (c.to_numpy(zero_copy_only=False) for c in _piece(piece, params))
+        return CELL, np.where(sure, _mixed(text, span), value), _rows([value, text, span, around, sure])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
         seen = set()
         for b in batches:
             piece, size = [], 0
@@ -213,56 +340,28 @@ def _ranges(df: DataFrame, params: Params) -> DataFrame:
                     piece.append((k, t))
                     size += len(t) // 6 + 1
                     if size >= params.words_at_once:
-                        yield pa.RecordBatch.from_arrays(_piece(piece, params), names=names)
+                        yield dealt(piece)
                         piece, size = [], 0
             if piece:
-                yield pa.RecordBatch.from_arrays(_piece(piece, params), names=names)
-        release()
-
-    return df.mapInArrow(work, ", ".join(f"{n} bigint" for n in names[:4]) + ", sure boolean")
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], column: int, least: int = 1) -> Iterator[list[np.ndarray]]:
-    """Sorted batches again, as columns of about ``least`` rows or more, none of which ends within a run of equal values."""
-    held: list[list[np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        size += batch.num_rows
-        if size < least or held[0][column][0] == held[-1][column][-1]:
-            continue
-        columns = [np.concatenate(c) for c in zip(*held)]
-        cut = int(np.searchsorted(columns[column], columns[column][-1]))
-        yield [c[:cut] for c in columns]
-        held, size = [[c[cut:] for c in columns]], len(columns[0]) - cut
-    if held:
-        yield [np.concatenate(c) for c in zip(*held)]
+                yield dealt(piece)
 
-
-def _starts(*columns: np.ndarray) -> np.ndarray:
-    """Where a row differs from the one before it."""
-    new = np.zeros(len(columns[0]), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return new
+    return df.mapInArrow(lambda batches: _blobs(work(batches), buckets), BLOBS)
 
 
 def _shared(ranges: DataFrame, params: Params) -> DataFrame:
-    """(text, span, value, around) of the values that two texts or more hold."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for value, text, span, around, sure in _whole_groups(batches, 0):
+    """(text, span, value, around) of the values that two texts or more hold, dealt by text."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
+        for held in _by_bucket(batches):
+            rows = _matrix(held, CELL, 5)
+            order = np.argsort(rows[:, 0])
+            value, text, sure = rows[order, 0], rows[order, 1], rows[order, 4]
             at = np.flatnonzero(_starts(value))
-            several = (np.maximum.reduceat(text, at) != np.minimum.reduceat(text, at)) | np.logical_or.reduceat(sure, at)
-            keep = np.repeat(several, np.diff(np.append(at, len(value)))) & _starts(value, text, span)  # once, however many tasks met a copy
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (text, span, value, around)], names=["text", "span", "value", "around"])
-        release()
+            several = (np.maximum.reduceat(text, at) != np.minimum.reduceat(text, at)) | (np.maximum.reduceat(sure, at) > 0)
+            rows = rows[order[np.repeat(several, np.diff(np.append(at, len(value))))]]
+            if len(rows):
+                yield CELL, rows[:, 1], rows[:, [1, 2, 0, 3]]
 
-    # what is known to be shared goes anywhere, so that no task gets all rows of a hot value
-    dealt = ranges.repartition(F.when(F.col("sure"), F.xxhash64("text", "span")).otherwise(F.col("value")))
-    return dealt.sortWithinPartitions("value", "text", "span").mapInArrow(work, "text bigint, span bigint, value bigint, around bigint")
+    return _gathered(ranges, work)
 
 
 def cells(text: np.ndarray, span: np.ndarray, value: np.ndarray, around: np.ndarray, hashes: int) -> list[np.ndarray]:
@@ -285,345 +384,534 @@ def cells(text: np.ndarray, span: np.ndarray, value: np.ndarray, around: np.ndar
 
 
 def _cells(shared: DataFrame, params: Params) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for text, span, value, around in _whole_groups(batches, 0, 100_000):
-            once = _starts(text, span)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells(text[once], span[once], value[once], around[once], params.hashes)], names=["key", "class", "text", "span"])
-        release()
-
-    dealt = shared.repartition("text").sortWithinPartitions("text", "span")
-    return dealt.mapInArrow(work, "key bigint, class bigint, text bigint, span bigint")
-
-
-def _at(span: str) -> Column:
-    return F.shiftright(span, 32)
-
-
-def _open(classes: DataFrame, found: DataFrame, params: Params) -> DataFrame:
-    """The classes (key, text, span, size, hub) of the keys in which something is left to compare, with ``open`` and their number
-    n: classes of two texts or more beside the hub, of which one is open. open is 0 for the hub and where a verified passage
-    of the text that covers the shared token will be reported, 1 if it is only named as an original, else 2."""
-    as_a = found.groupBy(F.col("a").alias("text")).agg(F.collect_set(F.struct("start", "n_words")).alias("told"))
-    as_b = found.groupBy(F.col("b").alias("text")).agg(F.collect_set(F.struct(F.col("of_start").alias("start"), "n_words")).alias("named"))
-    covers = as_a.join(as_b, "text", "full")
-    covered = lambda c: F.coalesce(F.exists(c, lambda s: (s.start <= F.col("at")) & (F.col("at") <= s.start + s.n_words - params.shingle)), F.lit(False))
-    is_open = F.when(covered("told") | (F.col("text") == F.col("hub")), 0).when(covered("named"), 1).otherwise(2)
-    flagged = classes.select("key", "text", "span", "size", "hub").withColumn("at", _at("span")).join(covers, "text", "left").withColumn("open", is_open.cast("bigint"))
-    other = F.when(F.col("text") != F.col("hub"), F.col("text"))
-    groups = flagged.groupBy("key").agg(F.count("*").alias("n"), F.min(other).alias("lo"), F.max(other).alias("hi"), F.max(F.col("open") > 0).alias("left"))
-    return flagged.select("key", "text", "span", "size", "hub", "open").join(groups.where("lo <> hi and left").select("key", "n"), "key")
-
-
-def _facing(x: str, x_span: str, y: str, y_span: str) -> list[Column]:
-    """Columns a, a_at, b, b_at of two texts, that of greater hash first."""
-    first, second = F.struct(F.col(x).alias("text"), _at(x_span).alias("at")), F.struct(F.col(y).alias("text"), _at(y_span).alias("at"))
-    a, b = F.when(F.col(x) > F.col(y), first).otherwise(second), F.when(F.col(x) > F.col(y), second).otherwise(first)
-    return [a["text"].alias("a"), a["at"].alias("a_at"), b["text"].alias("b"), b["at"].alias("b_at")]
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, xs, ys) of rows (a, a_at, b, b_at): each pair of texts once, with all its anchors."""
-    met = rows.groupBy("a", "b").agg(F.collect_set(F.struct("a_at", "b_at")).alias("at"))
-    return met.select("a", "b", F.col("at.a_at").alias("xs"), F.col("at.b_at").alias("ys"))
-
-
-def _repeats(made: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
-    """What members of a class repeat of its first one, word by word: rows like those of _verified."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            of = np.repeat(np.arange(len(a)), held.value_lengths().to_numpy())
-            first, last, shift = (c.to_numpy() for c in held.flatten().flatten())
-            order = np.lexsort((last, first, shift, of))
-            of, first, last, shift = of[order], first[order], last[order], shift[order]
-            top = np.maximum.accumulate(last + (np.cumsum(_starts(of, shift)) << 32))  # the last start so far of its pair and diagonal
-            new = _starts(of, shift)
-            new[1:] |= first[1:] + (np.cumsum(_starts(of, shift))[1:] << 32) > top[:-1] + 1
-            at = np.flatnonzero(new)
-            if len(at):
-                end = (top & 0xFFFFFFFF)[np.append(at[1:], len(of)) - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[of[at]], b[of[at]], first[at], end - first[at] + params.words, first[at] - shift[at], np.ones(len(at)))], names=["a", "b", "start", "n_words", "of_start", "similarity"])
-        release()
-
-    start, end = _at("span") - F.shiftright("span", 18).bitwiseAND(WIDE), _at("span") - F.shiftright("span", 4).bitwiseAND(WIDE)
-    rows = made.join(classes.select("key", "class", F.col("text").alias("b"), F.col("span").alias("b_span")), ["key", "class"]).where("text <> b")
-    runs = F.collect_set(F.struct(start.alias("first"), end.alias("last"), (_at("span") - _at("b_span")).alias("shift"))).alias("runs")
-    return rows.groupBy(F.col("text").alias("a"), "b").agg(runs).mapInArrow(work, SPANS)
-
-
-def _around(rows: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
-    """The rows of _open with ``near``: 32 bits of each token of their passages, by its place beside the shared one."""
-    names = ["text", "key", "span", "open", "n", "near"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = np.arange(1 - params.t, params.t)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x = (tokens(batch.column(1)[k].as_py().encode(), params.shingle) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                held = batch.column(2)[k].values
-                for part in (held.slice(i, 5000) for i in range(0, len(held), 5000)):
-                    key, span, is_open, n = part.flatten()
-                    c, first, last, _ = _unpack(span.to_numpy())
-                    at = c[:, None] + reach
-                    within = (at >= first[:, None]) & (at < last[:, None] + params.t)
-                    near = np.where(within, x[np.clip(at, 0, len(x) - 1)], 0).astype("<u4")
-                    text = pa.array(np.full(len(part), batch.column(0)[k].as_py(), np.int64))
-                    yield pa.RecordBatch.from_arrays([text, key, span, is_open, n, pa.array([r.tobytes() for r in near], pa.binary())], names=names)
-        release()
-
-    held = rows.groupBy(F.col("text").alias("name")).agg(F.collect_list(F.struct("key", "span", "open", "n")).alias("held"))
-    return texts.toDF("name", "words").join(held, "name").select("name", "words", "held").mapInArrow(work, "text bigint, key bigint, span bigint, open bigint, n bigint, near binary")
-
-
-def _counts(near: np.ndarray) -> np.ndarray:
-    """How many tokens of each row fall in each of 1024 classes; products of two rows are at least what they share."""
-    row, at = np.nonzero(near)
-    which = (near[row, at] * np.uint32(0x9E3779B1) >> np.uint32(22)).astype(np.int64)
-    out = np.zeros((len(near), 1024), np.float32)
-    for i in range(0, len(near), 1024):
-        lo, hi = np.searchsorted(row, [i, i + 1024])
-        n = min(1024, len(near) - i)
-        out[i:i + n] = np.bincount((row[lo:hi] - i) * 1024 + which[lo:hi], minlength=n * 1024).reshape(n, 1024)
+    """Rows key, class, text, span, dealt by key."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
+        for held in _by_bucket(batches):
+            rows = _matrix(held, CELL, 4)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            rows = rows[_starts(rows[:, 0], rows[:, 1])]  # once, however many tasks met a copy
+            made = _rows(cells(*rows.T, params.hashes))
+            if len(made):
+                yield CELL, made[:, 0], made
+
+    return _gathered(shared, work)
+
+
+def _groups(made: DataFrame, params: Params) -> DataFrame:
+    """Of the cells of each key held by several texts: what members of a class repeat of its first one (REPEAT: a, b, first and
+    last start, shift), the pairs of a key of ``few`` classes at most (PAIR: a, b and the places of the shared token), and the classes of all
+    other keys, whose surroundings are to be read (ASKED: text, key, span, number of classes).
+
+    A class goes by its first member. Where two classes of a key have the same text as first, each goes by its next text too, so
+    that all texts of the one can meet all of the other."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
+        for held in _by_bucket(batches):
+            rows = _matrix(held, CELL, 4)
+            rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+            at = np.flatnonzero(_starts(rows[:, 0]))
+            several = np.maximum.reduceat(rows[:, 2], at) != np.minimum.reduceat(rows[:, 2], at)
+            rows = rows[np.repeat(several, np.diff(np.append(at, len(rows))))]
+            if not len(rows):
+                continue
+            key, kind, text, span = rows.T
+            at = np.flatnonzero(_starts(key, kind))
+            size = np.diff(np.append(at, len(rows)))
+            first = np.repeat(at, size)
+            other = np.flatnonzero(text != text[first])
+            if len(other):
+                c, lo, hi, _ = _unpack(span[other])
+                out = _rows([text[other], text[first[other]], lo, hi, c - (span[first[other]] >> 32)])
+                yield REPEAT, _mixed(out[:, 0], out[:, 1]), out
+            k_at = np.flatnonzero(_starts(key[at]))
+            n = np.diff(np.append(k_at, len(at)))
+            same = np.zeros(len(at), bool)  # the first text of another class of the key, too
+            by_text = np.lexsort((text[at], key[at]))
+            twin = ~_starts(key[at][by_text], text[at][by_text])
+            same[by_text] = twin | np.append(twin[1:], False)
+            few = (n <= params.few) & ~np.maximum.reduceat(same, k_at)
+            for k in range(2, params.few + 1):
+                lead = k_at[few & (n == k)]
+                x, y = (np.concatenate([at[lead + i] for i in c] or [lead]) for c in zip(*itertools.combinations(range(k), 2)))
+                if len(x):
+                    yield _paired(text, span, x, y)
+            wanted = np.repeat(~few & (n > 1), n)
+            nxt = np.full(len(at), -1)
+            nxt[np.searchsorted(at, first[other[::-1]])] = other[::-1]
+            alt = wanted & same & (nxt >= 0)
+            i, cls = np.concatenate([at[wanted], nxt[alt]]), np.concatenate([np.flatnonzero(wanted), np.flatnonzero(alt)])
+            if len(i):
+                yield ASKED, text[i], _rows([text[i], key[i], span[i], np.repeat(n, n)[cls]])
+
+    return _gathered(made, work)
+
+
+def _paired(text: np.ndarray, span: np.ndarray, x: np.ndarray, y: np.ndarray) -> Dealt:
+    """Pairs of rows as a, b, a_at, b_at, the text of greater hash first."""
+    a, b = np.where(text[x] > text[y], x, y), np.where(text[x] > text[y], y, x)
+    return PAIR, _mixed(text[a], text[b]), _rows([text[a], text[b], span[a] >> 32, span[b] >> 32])
+
+
+def _with_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """Blobs dealt by text, and the texts (key, text) themselves."""
+    b = _buckets(texts.sparkSession)
+    null = F.lit(None).cast("binary")
+    as_blobs = texts.select(F.pmod("key", F.lit(b).cast("bigint")).alias("bucket"), F.lit(TEXT).cast("bigint").alias("kind"), F.col("key").alias("name"), F.col("text").cast("binary").alias("x"), null.alias("y"), null.alias("z"))
+    return asked.unionByName(as_blobs)
+
+
+def _read(held: dict[int, list[pa.RecordBatch]], width: int, params: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows asked of the texts of a bucket, sorted, in pieces of some texts: rows, the index of each row's text, the tokens of these texts
+    on end, where each begins and how many it has."""
+    asked = _matrix(held, ASKED, width)
+    asked = asked[np.lexsort(asked.T[::-1])]
+    left, piece, size = set(np.unique(asked[:, 0]).tolist()), [], 0
+
+    def taken() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        piece.sort(key=lambda p: p[0])
+        names = np.array([k for k, _ in piece], np.int64)
+        tok, sizes = tokens_of([t for _, t in piece], params.shingle)
+        of = np.minimum(np.searchsorted(names, asked[:, 0]), len(names) - 1)
+        mine = names[of] == asked[:, 0]
+        return asked[mine], of[mine], tok, np.cumsum(sizes) - sizes, sizes
+
+    for b in held.get(TEXT, []) if left else []:
+        for i, k in enumerate(b.column(2).to_pylist()):
+            if k in left:
+                left.remove(k)
+                piece.append((k, b.column(3)[i].as_py()))
+                size += len(piece[-1][1]) // 6 + 1
+                if size >= params.words_at_once:
+                    yield taken()
+                    piece, size = [], 0
+    if piece:
+        yield taken()
+
+
+def _near(asked: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
+    """The classes asked for with 32 bits of each token of all passages that hold the shared one, by its place beside it. A key of many
+    classes is dealt into blocks of about ``block``; a task gets two blocks of it at a time."""
+    t = params.t
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
+        reach = np.arange(1 - t, t + 1)
+        for held in _by_bucket(batches):
+            for rows, of, tok, base, sizes in _read(held, 4, params):
+                for k in range(0, len(rows), 5000):
+                    text, key, span, n = rows[k:k + 5000].T
+                    at = (span >> 32)[:, None] + reach
+                    within = (at >= 0) & (at < sizes[of[k:k + 5000], None])
+                    place = np.clip(base[of[k:k + 5000], None] + at, 0, len(tok) - 1)
+                    near = np.where(within, (tok[place] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), 0).astype("<u4")
+                    made = np.concatenate([_rows([key, key, key, text, span]), near.view(np.int64)], 1)
+                    blocks = -(-n // params.block)
+                    own = np.mod(_mixed(text, key), blocks)
+                    i = np.repeat(np.arange(len(made)), blocks)
+                    other = np.arange(len(i)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    made = made[i]
+                    made[:, 1], made[:, 2] = np.minimum(own[i], other), np.maximum(own[i], other)
+                    yield CELL, _mixed(made[:, 0], made[:, 1], made[:, 2]), made
+
+    return _gathered(_with_texts(asked, texts), work)
+
+
+def _class(tokens_: np.ndarray) -> np.ndarray:
+    return tokens_ * np.uint32(0x9E3779B1) >> np.uint32(21)
+
+
+def _many(held: np.ndarray, t: int, need: int) -> np.ndarray:
+    """Whether any ``t`` places of a row in a run hold ``need`` or more."""
+    return (_windows(held, t, 0) >= need).any(1)
+
+
+def _windows(held: np.ndarray, t: int, d: int = 0) -> np.ndarray:
+    """For each start, how many of the places ``held`` lie in its ``t`` places together with the place d behind them."""
+    total = np.zeros((held.shape[0], held.shape[1] + 1), np.uint8 if held.shape[1] < 256 else np.int32)
+    np.cumsum(held, axis=1, out=total[:, 1:], dtype=total.dtype)
+    n = held.shape[1] - t + 1
+    lo, hi = max(0, -d), min(t, t - d)
+    return total[:, hi:hi + n] - total[:, lo:lo + n]
+
+
+def _many(held: np.ndarray, t: int, need: int) -> np.ndarray:
+    """Whether any ``t`` places of a row in a run hold ``need`` or more."""
+    out = held.sum(1) >= need
+    out[out] = (_windows(held[out], t) >= need).any(1)
     return out
 
 
-def meet(group: np.ndarray, text: np.ndarray, is_open: np.ndarray, near: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (x, y) of one group, text[x] > text[y], x open or y neither reported nor named, where a passage of x holds as many
-    tokens of y as the threshold needs.
-
-    Of x's tokens, ordered by their number of rows, all but need - 1 must hold a shared one, so y is looked up by these
-    only and a line that all rows hold leads to no pairs; rows of large groups are compared by counts of token classes,
-    which are never less than what they share. Nothing is lost by either."""
+def _whole(a: np.ndarray, b: np.ndarray, t: int) -> np.ndarray:
+    """The starts whose passage lies in both texts."""
+    return (a[:, :t] != 0) & (a[:, t - 1:] != 0) & (b[:, :t] != 0) & (b[:, t - 1:] != 0)
+
+
+def alike(near: np.ndarray, x: np.ndarray, y: np.ndarray, need: int) -> np.ndarray:
+    """For pairs of rows of tokens around a shared one (0: none): whether a passage of x that holds it and the one at the same
+    place of y hold ``need`` tokens in common."""
+    t = (near.shape[1] + 1) // 2
+    exact, left = np.zeros(len(x), bool), []
+    for k in range(0, len(x), 1000):
+        a, b = near[x[k:k + 1000]], near[y[k:k + 1000]]
+        same = (a == b) & (a != 0)
+        i = np.flatnonzero(_many(same, t, need))
+        i = i[((_windows(same[i], t) >= need) & _whole(a[i], b[i], t)).any(1)]
+        exact[k + i] = True
+        i = np.flatnonzero(~exact[k:k + 1000])
+        a, b = a[i], b[i]
+        some = np.zeros((len(i), 2048), bool)  # classes of tokens that y holds: a token of x in none of them has no partner
+        each = np.arange(len(i))[:, None]
+        some[each, b * np.uint32(0x9E3779B1) >> np.uint32(21)] = True
+        left.append(k + i[_many(some[each, a * np.uint32(0x9E3779B1) >> np.uint32(21)] & (a != 0), t, need)])
+    left = np.concatenate(left) if left else np.empty(0, np.int64)
+    distances = sorted(range(1 - t, t), key=lambda d: (abs(d), d))  # the nearest partner first
+    for i in (left[k:k + 2000] for k in range(0, len(left), 2000)):
+        a, b = near[x[i]], near[y[i]]
+        total, free = np.zeros((len(i), t), np.int16), a != 0
+        for d in distances:
+            lo, hi = max(0, -d), min(2 * t - 1, 2 * t - 1 - d)
+            m = a[:, lo:hi] == b[:, lo + d:hi + d]
+            m &= free[:, lo:hi]
+            r = np.flatnonzero(m.any(1))
+            if len(r):
+                free[:, lo:hi] &= ~m
+                held = np.zeros((len(r), 2 * t - 1), bool)
+                held[:, lo:hi] = m[r]
+                total[r] += _windows(held, t, d)
+        exact[i] = ((total >= need) & _whole(a, b, t)).any(1)
+    return exact
+
+
+def meet(group: np.ndarray, text: np.ndarray, near: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y), text[x] > text[y], of rows of one group that are near each other, fewer than rows: they join all rows of a
+    group that any near pairs of it join.
+
+    Rows are sorted by group and text. All meet the first of their group, then the first row that holds one of their rarer
+    tokens; two rows that are not joined so far are compared if they share one of these. Of x's tokens, ordered by their number
+    of rows, all but need - 1 must hold a shared one, so nothing is lost, and a line that all rows hold leads to no pairs."""
     need = math.ceil(2 * params.t * params.similarity / (1 + params.similarity) - 1e-9)
-    m, valid = len(near), near != 0
-    row, _ = np.nonzero(valid)
-    token = mix64(near[valid].astype(np.uint64) | (group[row].astype(np.uint64) << np.uint64(32)))
-    _, token = np.unique(token, return_inverse=True)
-    times = np.bincount(np.unique(token.astype(np.int64) * m + row) // m)
-    order = np.lexsort((token, times[token], row))
-    sizes = valid.sum(1)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # row is ascending: places within rows
-    entry = token.astype(np.int64) * m + row
-    probes = entry[order][(place <= sizes[row] - need) & (times[token[order]] > 1)]
-    probes, entries = np.unique(probes), np.unique(entry[times[token] > 1])
-    probes = probes[np.argsort(probes % m, kind="stable")]  # the pairs of a row come together
-    keep = [np.empty(0, np.int64)]
-
-    def alike(c: np.ndarray) -> np.ndarray:
-        a, b = near[c // m], near[c % m]
-        shared = np.zeros(a.shape, bool)
-        for k in range(b.shape[1]):
-            shared |= a == b[:, k:k + 1]
-        total = np.cumsum(np.pad(shared & (a != 0), ((0, 0), (1, 0))), axis=1)
-        return (total[:, params.t:] - total[:, :-params.t]).max(1) >= need
-
-    bounds = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [m]])
-    large = np.repeat(np.diff(bounds) > 200, np.diff(bounds))
-    for mine, theirs in ((is_open > 0, np.ones(m, bool)), (is_open == 0, is_open == 2)):
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            xs, ys = lo + np.flatnonzero(mine[lo:hi]), lo + np.flatnonzero(theirs[lo:hi])
-            if hi - lo > 200 and len(xs) and len(ys):
-                known = _counts(near[ys]).T
-                for part in (xs[k:k + 256] for k in range(0, len(xs), 256)):
-                    i, j = np.nonzero(_counts(near[part]) @ known >= need)
-                    x, y = part[i], ys[j]
-                    good = text[x] > text[y]
-                    code = x[good] * m + y[good]
-                    keep += [c[alike(c)] for c in (code[k:k + 500] for k in range(0, len(code), 500))]
-        mine = mine & ~large
-        p, e = probes[mine[probes % m]], entries[theirs[entries % m]]
-        begin, end = np.searchsorted(e, p // m * m), np.searchsorted(e, (p // m + 1) * m)
-        total, i = np.cumsum(end - begin), 0
-        while i < len(p):
-            stop = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000)))
-            count = end[i:stop] - begin[i:stop]
-            x = np.repeat(p[i:stop] % m, count)
-            y = e[np.repeat(begin[i:stop] - (np.cumsum(count) - count), count) + np.arange(count.sum())] % m
-            good = text[x] > text[y]
-            code = np.unique(x[good] * m + y[good])
-            keep += [c[alike(c)] for c in (code[k:k + 500] for k in range(0, len(code), 500))]
-            i = stop
-    code = np.unique(np.concatenate(keep))
-    return code // m, code % m
-
-
-def _crossing(rows: DataFrame, params: Params) -> DataFrame:
-    """(a, a_at, b, b_at): the pairs of open classes with any others of their key that may share a passage.
-
-    A key is dealt into blocks of about ``block`` classes, and a task gets two blocks at a time, never a whole hot key;
-    only pairs that pass become rows."""
-    names = ["a", "a_at", "b", "b_at"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush(b: pa.Table) -> pa.RecordBatch:
-            key, i, j, own, text, span, is_open = (b.column(k).to_numpy() for k in range(7))
-            near = np.frombuffer(b"".join(b.column(7).to_pylist()), "<u4").reshape(b.num_rows, -1)
-            group = np.cumsum(_starts(key, i, j)) - 1
-            x, y = meet(group, text, is_open, near, params)
-            apart = (group[x] == group[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
-            x, y = x[apart], y[apart]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (text[x], span[x] >> 32, text[y], span[y] >> 32)], names=names)
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size < params.block:
-                continue
-            b = pa.Table.from_batches(held)
-            cell = np.stack([b.column(k).to_numpy() for k in range(3)])
-            cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0))
-            if len(cuts):  # the last cell may go on
-                yield flush(b.slice(0, cuts[-1] + 1))
-                held = b.slice(cuts[-1] + 1).to_batches()
-                size = sum(h.num_rows for h in held)
-        if size:
-            yield flush(pa.Table.from_batches(held))
-        release()
-
-    blocks = F.ceil(F.col("n") / params.block).cast("bigint")
-    own = F.pmod(F.xxhash64("text", "key"), F.col("blocks"))
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "text", "span", "open", "near")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(work, ", ".join(f"{n} bigint" for n in names))
-
-
-def around(x: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, tokens) of x at a distance of up to reach from any of the places ``at``."""
-    mark = np.zeros(len(x) + 1, np.int32)
-    np.add.at(mark, np.maximum(0, at - reach), 1)
-    np.add.at(mark, np.minimum(len(x), at + reach + 1), -1)
-    places = np.flatnonzero(np.cumsum(mark[:-1]))
-    return places, x[places]
-
-
-def spans(a: tuple[int, np.ndarray, np.ndarray], b: tuple[int, np.ndarray, np.ndarray], xs: np.ndarray, ys: np.ndarray, params: Params) -> list[tuple[int, int, int, float]]:
-    """(start, words, start in b, best similarity) of the passages of a with a near duplicate in b along the anchors (xs, ys).
-
-    a and b: the number of a text's tokens and (places, tokens) of them, in order: those of a up to t from an anchor, those
-    of b up to 2 t, as a token has its partner less than t from its own place."""
-    t, found = params.t, []
-    (len_a, pa_, ta), (len_b, pb, tb) = a, b
-    order = np.argsort(tb, kind="stable")
-    sorted_b = tb[order]
+    m = len(near)
+    parent, keep = list(range(m)), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def labels() -> np.ndarray:
+        return np.array([root(i) for i in range(m)])
+
+    # a passage of x must hold as many tokens of other rows of its group; counted by hash, so never too few
+    size_ = 1 << (8 * near.size).bit_length()
+    slot = (near.astype(np.uint64) * GOLDEN + group.astype(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - size_.bit_length() + 1)
+    slot = slot.astype(np.int64)
+    times = np.bincount(slot[near != 0], minlength=size_)
+    able = _many((near != 0) & (times[slot] > 1), params.t, need)
+    if not able.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        x, y = np.where(text[x] > text[y], x, y), np.where(text[x] > text[y], y, x)
+        x, y = x[able[x]], y[able[x]]
+        exact = alike(near, x, y, need)
+        for i, j in zip(x[exact].tolist(), y[exact].tolist()):
+            u, v = root(i), root(j)
+            if u != v:
+                parent[u] = v
+                keep.append((i, j))
+
+    at = np.flatnonzero(_starts(group))
+    hub = np.repeat(at, np.diff(np.append(at, m)))
+    x = np.flatnonzero(text != text[hub])
+    compare(x, hub[x])
+
+    label = labels()
+    # from here on only tokens count that rows of several labels hold
+    seen, mixed = np.empty(size_, np.int64), np.zeros(size_, bool)
+    of_token = np.broadcast_to(label[:, None], near.shape)
+    seen[slot] = of_token
+    mixed[slot[seen[slot] != of_token]] = True
+    several = (near != 0) & mixed[slot]
+    able &= _many(several, params.t, need)
+    several &= np.repeat(np.maximum.reduceat(able, at), np.diff(np.append(at, m)))[:, None]
+    row, at = np.nonzero(several)
+    if not len(row):
+        return tuple(np.array(keep, np.int64).reshape(-1, 2).T)
+    code = near[row, at].astype(np.int64) | (group[row] << 32)
+    order = np.argsort(code, kind="stable")
+    token = np.empty(len(row), np.int64)
+    token[order] = np.cumsum(_starts(code[order])) - 1
+    entries = token[order] * m + row[order]
+    entries = entries[_starts(entries)]
+    times = np.bincount(entries // m)
+    order = np.argsort((row * (m + 1) + times[token]) * len(times) + token)
+    count, sizes = several.sum(1), (near != 0).sum(1)  # row is ascending; the tokens of no other row come first
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + (sizes - count)[row]
+    probes = np.unique((token * m + row)[order][(place <= sizes[row] - need) & (times[token[order]] > 1) & able[row]])
+    begin = np.searchsorted(entries, np.arange(len(times)) * m)
+    end = begin + times
+
+    x, y = probes % m, entries[begin[probes // m]] % m
+    code = np.unique((x * m + y)[(text[x] != text[y]) & (label[x] != label[y])])
+    compare(code // m, code % m)
+    tried = np.unique(code)
+
+    label = labels()
+    held = label[entries % m]
+    order = np.lexsort((held, entries // m))  # those of a token by label: a row is led to the ones of other labels only
+    entries, held = entries[order], held[order]
+    block = np.flatnonzero(_starts(entries // m, held))
+    ends = np.append(block[1:], len(entries))
+    mine = np.searchsorted((entries // m * m + held)[block], probes // m * m + label[probes % m])
+    before, behind = block[mine] - begin[probes // m], end[probes // m] - ends[mine]
+    some = np.flatnonzero(before + behind)
+    some = some[np.argsort(probes[some] % m, kind="stable")]  # the pairs of a row come together
+    probes, mine, before, count = probes[some], mine[some], before[some], (before + behind)[some]
+    total, i = np.cumsum(count), 0
+    while i < len(probes):
+        stop = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000)))
+        n = count[i:stop]
+        of = np.repeat(np.arange(i, stop), n)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.where(nth < before[of], begin[probes[of] // m] + nth, ends[mine[of]] + nth - before[of])
+        x, y = probes[of] % m, entries[at] % m
+        good = (text[x] > text[y]) & (label[x] != label[y])
+        code = np.setdiff1d(x[good] * m + y[good], tried)
+        while len(code):  # what is joined by some need not be compared
+            compare(code[:2000] // m, code[:2000] % m)
+            label, code = labels(), code[2000:]
+            code = code[label[code // m] != label[code % m]]
+        i = stop
+    return tuple(np.unique(np.array(keep, np.int64).reshape(-1, 2), axis=0).T)
+
+
+def _crossing(near: DataFrame, params: Params) -> DataFrame:
+    """The pairs (PAIR) of classes of one key that join all that are near each other by what is around their shared token."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
+        for held in _by_bucket(batches):
+            rows = _matrix(held, CELL, 5 + params.t)
+            rows = rows[np.lexsort((rows[:, 4], rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+            ends = np.append(np.flatnonzero(_starts(*rows[:, :3].T))[1:], len(rows))
+            lo = 0
+            while lo < len(rows):
+                hi = int(ends[min(len(ends) - 1, np.searchsorted(ends, lo + params.block))])
+                part = rows[lo:hi]
+                around = np.ascontiguousarray(part[:, 5:]).view("<u4")[:, :2 * params.t - 1]
+                x, y = meet(np.cumsum(_starts(*part[:, :3].T)) - 1, part[:, 3], around, params)
+                if len(x):
+                    yield _paired(part[:, 3], part[:, 4], x, y)
+                lo = hi
+
+    return _gathered(near, work)
+
+
+def _sides(pairs: DataFrame, params: Params) -> DataFrame:
+    """What the check of each pair asks of its two texts (ASKED: text, the other, side, own place, other place)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
+        for held in _by_bucket(batches):
+            rows = _matrix(held, PAIR, 4)
+            rows = rows[np.lexsort(rows.T[::-1])]
+            a, b, x, y = rows[_starts(*rows.T)].T
+            side = np.zeros(len(a), np.int64)
+            yield ASKED, a, _rows([a, b, side, x, y])
+            yield ASKED, b, _rows([b, a, side + 1, y, x])
+
+    return _gathered(pairs, work)
+
+
+def covered(run: np.ndarray, at: np.ndarray, before: np.ndarray | int, after: np.ndarray | int, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place) of all places of a run from ``before`` before to ``after`` behind any of its places ``at``, within bounds
+    of the run, once and in order. Rows are sorted by run and place; all other values are those of the run."""
+    low, high = np.maximum(at - before, least), np.minimum(at + after, most)
+    same = ~_starts(run)
+    low[same] = np.maximum(low[same], high[np.flatnonzero(same) - 1] + 1)
+    n = np.maximum(high - low + 1, 0)
+    return np.repeat(run, n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _parts(asked: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
+    """What the check of a pair reads of its texts (PART: x: a, b, side, tokens of the text, number given; y: their places; z:
+    the tokens) with its anchors (PAIR). Every text is tokenised once for all its pairs."""
+    t = params.t
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
+        for held in _by_bucket(batches):
+            for rows, of, tok, base, sizes in _read(held, 5, params):
+                me, other, side, at, their = rows.T
+                a, b = np.where(side == 0, me, other), np.where(side == 0, other, me)
+                first = side == 0
+                yield PAIR, _mixed(a, b)[first], _rows([a, b, at, their])[first]
+                order = np.lexsort((at, side, b, a))
+                a, b, side, at, of = (c[order] for c in (a, b, side, at, of))
+                new = _starts(a, b, side)
+                cuts = np.append(np.flatnonzero(new), len(at))
+                lo = 0
+                while lo < len(cuts) - 1:  # some thousand anchors at a time
+                    hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + 5000)) - 1)
+                    s = slice(cuts[lo], cuts[hi])
+                    reach = np.where(side[s] == 0, t, 2 * t)
+                    run, place = covered(np.cumsum(new[s]) - 1, at[s], reach, reach, np.zeros(len(reach), np.int64), sizes[of[s]] - 1)
+                    head = np.flatnonzero(new[s]) + cuts[lo]
+                    count = np.bincount(run, minlength=len(head))
+                    heads = _rows([a[head], b[head], side[head], sizes[of[head]], count])
+                    token = tok[base[of[head]][run] + place].astype("<u8")
+                    place = place.astype("<i4")
+                    yield PART, _mixed(a[head], b[head]), heads, place, token
+                    lo = hi
+
+    return _gathered(_with_texts(asked, texts), work)
+
+
+def spans(heads: np.ndarray, places: np.ndarray, toks: np.ndarray, anchors: np.ndarray, params: Params) -> list[np.ndarray]:
+    """Columns a, b, start, words, start in b, best similarity of the passages of a with a near duplicate in b along the anchors,
+    those of each distance of the two places by themselves, so that the place in b is right for all of a row.
+
+    heads: rows a, b, side, number of the text's tokens, number given; places and toks: these tokens, in order, those of a (side 0)
+    up to t from an anchor, those of b up to 2 t, as a token has its partner less than t from its own place; anchors: rows a, b, place
+    in a, place in b."""
+    t, wide = params.t, 1 << 32
+    need = math.ceil(2 * t * params.similarity / (1 + params.similarity) - 1e-9)
+    nothing = [np.empty(0, np.int64)] * 5 + [np.empty(0)]
+    names, pair = np.unique(_mixed(heads[:, 0], heads[:, 1]), return_inverse=True)
+    side, of = heads[:, 2], np.repeat(pair, heads[:, 4])
+    in_a = np.repeat(side == 0, heads[:, 4])
+    a_of, b_of, lengths = np.empty(len(names), np.int64), np.empty(len(names), np.int64), np.zeros((2, len(names)), np.int64)
+    a_of[pair], b_of[pair], lengths[side, pair] = heads[:, 0], heads[:, 1], heads[:, 3]
+    places = places.astype(np.int64)
+    mark = mix64(toks ^ mix64(of.astype(np.uint64) + np.uint64(1)))  # a token of a pair
+    order = np.lexsort((places[~in_a], mark[~in_a]))
+    sorted_b, place_b = mark[~in_a][order], places[~in_a][order]
     new = _starts(sorted_b)
-    values, key = sorted_b[new], (np.cumsum(new) - 1) << 32 | pb[order]
-    rank = np.searchsorted(values, ta)
-    known = values[np.minimum(rank, len(values) - 1)] == ta
-    held, rank = pa_[known], rank[known]
+    values, key = sorted_b[new], (np.cumsum(new) - 1) << 32 | place_b
+    if not len(values):
+        return nothing
+    order = np.lexsort((places[in_a], of[in_a]))
+    mine, p_all, m_all = of[in_a][order], places[in_a][order], mark[in_a][order]
+    rank = np.searchsorted(values, m_all)
+    known = values[np.minimum(rank, len(values) - 1)] == m_all
+    held, rank = (mine * wide + p_all)[known], rank[known]
     # only anchors near a passage of a with as many tokens of b, at any place, as the threshold needs
-    need = math.ceil(2 * t * params.similarity / (1 + params.similarity) - 1e-9)
     if len(held) < need:
-        return []
+        return nothing
     dense = np.flatnonzero(held[need - 1:] - held[:len(held) - need + 1] < t)
     if not len(dense):
-        return []
+        return nothing
     from_, to = held[dense + need - 1] - t + 1, held[dense] + t - 1
-    i = np.searchsorted(to, xs)
-    good = (i < len(to)) & (from_[np.minimum(i, len(to) - 1)] <= xs)
-    xs, shifts = xs[good], (xs - ys)[good]
-    for shift in np.unique(shifts).tolist():
-        low, high = max(0, shift), min(len_a, len_b + shift) - t  # starts in a whose passage lies in both texts
-        if high < low:
-            continue
-        at = xs[shifts == shift]
-        base = max(low, int(at.min()) - t + 1)
-        size = min(high, int(at.max())) - base + 1
-        if size <= 0:
-            continue
-        mark = np.zeros(size + 1, np.int64)
-        np.add.at(mark, np.clip(at - t + 1 - base, 0, size), 1)
-        np.add.at(mark, np.clip(at + 1 - base, 0, size), -1)
-        start = np.flatnonzero(np.cumsum(mark[:-1])) + base
-        if not len(start):
-            continue
-        lo, hi = np.searchsorted(held, [start[0], start[-1] + t])
-        p = held[lo:hi]
-        i = np.searchsorted(key, rank[lo:hi] << 32 | np.maximum(p - shift, 0))
-        best, far = np.full(len(p), -1), np.full(len(p), 1 << 60)
-        for k in (i - 1, i):
-            kk = key[np.clip(k, 0, len(key) - 1)]
-            q = kk & 0xFFFFFFFF
-            distance = np.where((k >= 0) & (k < len(key)) & (kk >> 32 == rank[lo:hi]), np.abs(q - (p - shift)), 1 << 60)
-            best, far = np.where(distance < far, q, best), np.minimum(distance, far)
-        p, q = p[far < t], best[far < t] + shift
-        # a start counts a token if the token and its partner lie in its passage
-        begins, ends = np.clip(np.maximum(p, q) - t + 1 - base, 0, size), np.clip(np.minimum(p, q) + 1 - base, 0, size)
-        shared = np.cumsum(np.bincount(begins, minlength=size + 1) - np.bincount(ends, minlength=size + 1))[start - base]
-        similarity = shared / (2 * t - shared)
-        good = similarity >= params.similarity
-        if good.any():
-            s, v = start[good], similarity[good]
-            cut = np.flatnonzero(np.diff(s) > t) + 1
-            for x, y in zip(np.split(s, cut), np.split(v, cut)):
-                found.append((int(x[0]), int(x[-1] - x[0]) + params.words, int(x[0] - shift), float(y.max())))
-    return _merged(found)
-
-
-def _merged(found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
-    """Overlapping passages as one, with the place of the first and the best similarity."""
-    out: list[list] = []
-    for start, n, other, similarity in sorted(found):
-        if out and start <= out[-1][0] + out[-1][1]:
-            out[-1][1] = max(out[-1][1], start + n - out[-1][0])
-            out[-1][3] = max(out[-1][3], similarity)
-        else:
-            out.append([start, n, other, similarity])
-    return [tuple(x) for x in out]
-
-
-def _parts(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
-    """Rows (a, b, side, n, places, tokens): what the check of a pair reads of a (side 0) and of b (side 1). Every text is
-    read once, whatever its number of pairs; its pairs come in lists of up to 500, so that a hub of many is several rows."""
-    names = ["a", "b", "side", "n", "places", "tokens"]
+    q = np.searchsorted(names, _mixed(anchors[:, 0], anchors[:, 1]))
+    x, shift = anchors[:, 2], anchors[:, 2] - anchors[:, 3]
+    i = np.searchsorted(to, q * wide + x)
+    good = (i < len(to)) & (from_[np.minimum(i, len(to) - 1)] <= q * wide + x)
+    order = np.lexsort((x[good], shift[good], q[good]))
+    q, x, shift = q[good][order], x[good][order], shift[good][order]
+    if not len(q):
+        return nothing
+    # a line is a pair and a shift; starts in a whose passage holds an anchor and lies in both texts
+    line = np.cumsum(_starts(q, shift)) - 1
+    low, high = np.maximum(0, shift), np.minimum(lengths[0][q], lengths[1][q] + shift) - t
+    line, start = covered(line, x, t - 1, 0, low, high)
+    head = np.flatnonzero(_starts(q, shift))
+    l_pair, l_shift = q[head], shift[head]
+    if not len(line):
+        return nothing
+    at = np.flatnonzero(_starts(line))
+    used = line[at]  # lines with starts
+    l_pair, l_shift = l_pair[used], l_shift[used]
+    line = np.cumsum(_starts(line)) - 1
+    base, last = start[at], start[np.append(at[1:], len(start)) - 1]
+    lo, hi = np.searchsorted(held, l_pair * wide + base), np.searchsorted(held, l_pair * wide + last + t)
+    n = hi - lo
+    of_line = np.repeat(np.arange(len(n)), n)
+    pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    p, r = held[pick] % wide, rank[pick]
+    target = p - l_shift[of_line]
+    i = np.searchsorted(key, r << 32 | np.maximum(target, 0))
+    best, far = np.full(len(p), -1), np.full(len(p), 1 << 60)
+    for k in (i - 1, i):
+        kk = key[np.clip(k, 0, len(key) - 1)]
+        other = kk & (wide - 1)
+        distance = np.where((k >= 0) & (k < len(key)) & (kk >> 32 == r), np.abs(other - target), 1 << 60)
+        best, far = np.where(distance < far, other, best), np.minimum(distance, far)
+    near = far < t
+    p, of_line = p[near], of_line[near]
+    partner = best[near] + l_shift[of_line]
+    # a start counts a token if the token and its partner lie in its passage
+    size = last - base + 1
+    offset = np.cumsum(size + 1) - (size + 1)
+    begins = np.clip(np.maximum(p, partner) - t + 1 - base[of_line], 0, size[of_line]) + offset[of_line]
+    ends = np.clip(np.minimum(p, partner) + 1 - base[of_line], 0, size[of_line]) + offset[of_line]
+    cells_ = int((size + 1).sum())
+    ends = np.maximum(begins, ends)
+    shared = np.cumsum(np.bincount(begins, minlength=cells_) - np.bincount(ends, minlength=cells_))[start - base[line] + offset[line]]
+    similarity = shared / (2 * t - shared)
+    good = similarity >= params.similarity
+    line, start, similarity = line[good], start[good], similarity[good]
+    if not len(line):
+        return nothing
+    new = _starts(line)
+    new[1:] |= np.diff(start) > t
+    at = np.flatnonzero(new)
+    end = start[np.append(at[1:], len(start)) - 1] + params.words
+    begin, l = start[at], line[at]  # noqa: E741
+    return [a_of[l_pair[l]], b_of[l_pair[l]], begin, end - begin, begin - l_shift[l], np.maximum.reduceat(similarity, at)]
+
+
+def _repeats(rows: np.ndarray, params: Params) -> list[np.ndarray]:
+    """What members of a class repeat of its first one, word by word: columns like those of spans."""
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 4], rows[:, 1], rows[:, 0]))]
+    a, b, first, last, shift = rows.T
+    line = np.cumsum(_starts(a, b, shift))
+    top = np.maximum.accumulate(last + (line << 32))  # the last start so far of its pair and diagonal
+    new = _starts(line)
+    new[1:] |= first[1:] + (line[1:] << 32) > top[:-1] + 1
+    at = np.flatnonzero(new)
+    end = (top & 0xFFFFFFFF)[np.append(at[1:], len(a)) - 1]
+    return [a[at], b[at], first[at], end - first[at] + params.words, first[at] - shift[at], np.ones(len(at))]
+
+
+def _found(blobs: DataFrame, params: Params) -> DataFrame:
+    """The passages that repeat or verified pairs share, of REPEAT, PART and PAIR."""
+    names = ["a", "b", "start", "n_words", "of_start", "similarity"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_bucket(batches):
+            made = []
+            repeats, anchors = _matrix(held, REPEAT, 5), _matrix(held, PAIR, 4)
+            if len(repeats):
+                made.append(_repeats(repeats, params))
+            if len(anchors):
+                part = held[PART]
+                made.append(spans(_matrix(held, PART, 5), np.frombuffer(_bytes(part, 4), "<i4"), np.frombuffer(_bytes(part, 5), "<u8"), anchors, params))
+            for columns in made:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return _gathered(blobs, work, SPANS)
+
+
+def _nodes(found: DataFrame) -> DataFrame:
+    """(link, side, node): the stretch of each text that the two sides of a found passage lie in; what overlaps in a
+    text is one stretch."""
+    buckets = _buckets(found.sparkSession)
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
         for batch in batches:
-            text, name, held = batch.column(0), batch.column(1).to_numpy(), batch.column(2)
-            for k in range(batch.num_rows):
-                x = tokens(text[k].as_py().encode(), params.shingle)
-                asked, rows = held[k].values, []
-                other, side, at = asked.field(0).to_numpy(), asked.field(1).to_numpy(), asked.field(2)
-                for i in range(len(asked)):
-                    places, part = around(x, at[i].values.to_numpy(), (params.t, 2 * params.t)[side[i]])
-                    a, b = (name[k], other[i]) if side[i] == 0 else (other[i], name[k])
-                    rows.append((a, b, side[i], len(x), places.astype("<i4").tobytes(), part.astype("<u8").tobytes()))
-                kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
-        release()
-
-    def side(me: str, other: str, at: str, k: int) -> DataFrame:
-        return pairs.select(F.col(me).alias("name"), F.struct(F.col(other).alias("other"), F.lit(k).cast("bigint").alias("side"), F.col(at).alias("at")).alias("asked"))
+            a, b, start, n, of_start, link = (batch.column(k).to_numpy() for k in range(6))
+            if len(a):
+                yield CELL, a, _rows([a, start, start + n, link, np.zeros(len(a))])
+                yield CELL, b, _rows([b, of_start, of_start + n, link, np.ones(len(a))])
 
-    asked = side("a", "b", "xs", 0).unionByName(side("b", "a", "ys", 1))
-    few = F.pmod(F.xxhash64("asked.other"), F.col("lists"))
-    counts = asked.groupBy("name").agg(F.ceil(F.count("*") / 500).alias("lists"))
-    lists = asked.join(counts, "name").groupBy("name", few.alias("list")).agg(F.collect_list("asked").alias("asked"))
-    rows = texts.toDF("name", "words").join(lists, "name").select("words", "name", "asked")
-    return rows.mapInArrow(work, "a bigint, b bigint, side bigint, n bigint, places binary, tokens binary")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            a, b, na, nb = (batch.column(i).to_numpy() for i in (0, 1, 4, 7))
-            for i in range(batch.num_rows):
-                xs, ys = (batch.column(k)[i].values.to_numpy() for k in (2, 3))
-                (pa_, ta), (pb, tb) = ((np.frombuffer(batch.column(k)[i].as_buffer(), "<i4").astype(np.int64), np.frombuffer(batch.column(k + 1)[i].as_buffer(), "<u8")) for k in (5, 8))
-                rows += [(a[i], b[i], *s) for s in spans((na[i], pa_, ta), (nb[i], pb, tb), xs, ys, params)]
-            if rows:
-                kinds = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["a", "b", "start", "n_words", "of_start", "similarity"])
-        release()
+        for held in _by_bucket(batches):
+            rows = _matrix(held, CELL, 5)
+            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+            text, start, end, link, side = rows.T
+            nth = np.cumsum(_starts(text))
+            top = np.maximum.accumulate((nth << 40) + end)
+            new = _starts(text)
+            new[1:] |= (nth[1:] << 40) + start[1:] > top[:-1]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (link, side, _mixed(text[first], start[first]))], names=["link", "side", "node"])
 
-    parts = _parts(pairs, texts, params)
-    sides = [F.max(F.when(F.col("side") == k, F.struct("n", "places", "tokens"))).alias(name) for k, name in enumerate(("of_a", "of_b"))]
-    met = parts.groupBy("a", "b").agg(*sides)
-    joined = pairs.join(met, ["a", "b"]).select("a", "b", "xs", "ys", "of_a.*", *(F.col(f"of_b.{c}").alias(f"{c}_b") for c in ("n", "places", "tokens")))
-    return joined.mapInArrow(work, SPANS)
+    rows = found.select("a", "b", "start", "n_words", "of_start", "link").mapInArrow(lambda batches: _blobs(sides(batches), buckets), BLOBS)
+    return _gathered(rows, work, "link bigint, side bigint, node bigint")
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -640,47 +928,31 @@ def _counted(rows: DataFrame) -> DataFrame:
 def find_passages(docs: DataFrame, params: Params = Params(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row per repeated passage of a document: doc_id, start (word), n_words, the original it is most similar to
     (of_doc_id, of_start, similarity), the ids of all originals it was found in (of_doc_ids) and their own places
-    (originals: of_doc_id, start, n_words, of_start, similarity). Passages that overlap are one."""
+    (originals: of_doc_id, start, n_words, of_start, similarity), and class_id: the same for all passages that near duplicates
+    join, directly or through others. Passages that overlap are one."""
     tables = Tables(docs.sparkSession, "substring")
+
+    def put(make: Callable[[], DataFrame]) -> DataFrame:
+        """A stored table; files of the shuffles before it go with the objects that stand for them."""
+        out = tables.put(make())
+        gc.collect()
+        docs.sparkSession._jvm.System.gc()
+        return out
+
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     rows = docs.select(docs[id_column].alias("doc_id"), F.xxhash64(t).alias("key"), t.alias("text"))
-    made = tables.put(_cells(_shared(_ranges(rows.select("key", "text"), params), params), params))
-    classes = made.groupBy("key", "class").agg(F.min(F.struct("text", "span")).alias("rep"), F.max("text").alias("most"), F.count("*").alias("size"))
-    largest = F.min(F.struct((-F.col("size")).alias("size"), "rep.text", "rep.span"))
-    groups = classes.groupBy("key").agg(largest.alias("hub"), F.min("rep.text").alias("least"), F.max("most").alias("most")).where("least <> most")
-    classes = tables.put(classes.join(groups.select("key", "hub"), "key").select("key", "class", "rep.*", "size", F.col("hub.text").alias("hub"), F.col("hub.span").alias("hub_span")))
-    exact = tables.put(_repeats(made, classes, params))
-    tables.drop(made)
-    met = tables.put(_pairs(classes.where("text <> hub").select(*_facing("text", "span", "hub", "hub_span"))))
-    wanted = met.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = tables.put(rows.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-    verified = tables.put(_verified(met, texts, params))
-    found = exact.unionByName(verified)
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        """Without the anchors that were looked at."""
-        done = met.select("a", "b", F.arrays_zip("xs", "ys").alias("done"))
-        at = F.when(F.col("done").isNull(), F.col("at")).otherwise(F.filter("at", lambda p: ~F.exists("done", lambda q: (q.xs == p.xs) & (q.ys == p.ys))))
-        left = pairs.select("a", "b", F.arrays_zip("xs", "ys").alias("at")).join(done, ["a", "b"], "left").withColumn("at", at).where(F.size("at") > 0)
-        return left.select("a", "b", F.col("at.xs").alias("xs"), F.col("at.ys").alias("ys"))
-
-    # keys in which a class without a verified passage has more to meet than its hub
-    for turn in range(params.rounds + 1):
-        left = tables.put(_open(classes, found, params))
-        if not left.rows:
-            break
-        if turn < params.rounds:
-            still = left.where("open > 0")
-            hubs = still.groupBy("key").agg(F.min(F.struct((-F.col("size")).alias("size"), "text", "span")).alias("next"))
-            near = still.join(hubs, "key").select("text", "span", F.col("next.text").alias("other"), F.col("next.span").alias("other_span"))
-            near = near.where("text <> other").select(*_facing("text", "span", "other", "other_span"))
-        else:
-            near = _crossing(_around(left, texts, params), params)
-        pairs = tables.put(fresh(_pairs(near)))
-        tables.drop(left)
-        if pairs.rows:
-            met, found = met.unionByName(pairs), found.unionByName(tables.put(_verified(pairs, texts, params)))
-    tables.drop(classes, texts)
+    texts = rows.select("key", "text")
+    groups = put(lambda: _groups(_cells(_shared(_ranges(texts, params), params), params), params))
+    of = lambda kind: groups.where(F.col("kind") == kind)
+    crossing = put(lambda: _crossing(_near(of(ASKED), texts, params), params))
+    parts = lambda: _parts(_sides(of(PAIR).unionByName(crossing), params), texts, params)
+    found = put(lambda: _found(of(REPEAT).unionByName(parts()), params).withColumn("link", F.xxhash64("a", "b", "start", "n_words", "of_start")))
+    tables.drop(groups, crossing)
+    node = lambda side: F.max(F.when(F.col("side") == side, F.col("node")))
+    links = tables.put(_nodes(found).groupBy("link").agg(node(0).alias("a"), node(1).alias("b")))
+    labels = components(links, tables)
+    found = found.join(links.select("link", F.col("a").alias("node")), "link").join(labels.withColumnRenamed("label", "class_id"), "node", "left")
+    found = found.withColumn("class_id", F.coalesce("class_id", "node"))
 
     long = F.octet_length("text") >= 2 * params.words - 1  # shorter ones cannot have so many words
     ids = _counted(rows.where(long)).where(F.col("n") >= params.words)
@@ -688,15 +960,15 @@ def find_passages(docs: DataFrame, params: Params = Params(), text: str = "text"
     first = ids.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     copies = ids.join(first.where("copies > 1"), "key").where(~F.col("doc_id").eqNullSafe(F.col("least")))
     copies = copies.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.col("n").alias("n_words"), F.col("least").alias("of_doc_id"), F.lit(0).cast("bigint").alias("of_start"), F.lit(1.0).alias("similarity"), F.array("least").alias("of_doc_ids"),
-                           F.array(F.struct(F.col("least").alias("of_doc_id"), F.lit(0).cast("bigint").alias("start"), F.col("n").alias("n_words"), F.lit(0).cast("bigint").alias("of_start"), F.lit(1.0).alias("similarity"))).alias("originals"))
+                           F.array(F.struct(F.col("least").alias("of_doc_id"), F.lit(0).cast("bigint").alias("start"), F.col("n").alias("n_words"), F.lit(0).cast("bigint").alias("of_start"), F.lit(1.0).alias("similarity"))).alias("originals"), F.col("key").alias("class_id"))
     named = found.join(first.select(F.col("key").alias("b"), F.col("least").alias("of_doc_id")), "b")
     before = Window.partitionBy("a").orderBy("start", "n_words").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.coalesce(F.col("start") > F.max(F.col("start") + F.col("n_words")).over(before), F.lit(True))
     island = F.sum(F.col("fresh").cast("int")).over(Window.partitionBy("a").orderBy("start", "n_words").rowsBetween(Window.unboundedPreceding, 0))
     marked = named.withColumn("fresh", fresh).withColumn("island", island)
     best = F.max(F.struct("similarity", (-F.col("of_doc_id")).alias("back"), "of_doc_id", "of_start")).alias("best")
-    merged = marked.groupBy("a", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n_words")).alias("end"), best, F.array_sort(F.collect_set("of_doc_id")).alias("of_doc_ids"), F.array_sort(F.collect_list(F.struct("of_doc_id", "start", "n_words", "of_start", "similarity"))).alias("originals"))
-    merged = merged.select("a", "start", (F.col("end") - F.col("start")).alias("n_words"), "best.of_doc_id", "best.of_start", "best.similarity", "of_doc_ids", "originals")
+    merged = marked.groupBy("a", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n_words")).alias("end"), best, F.array_sort(F.collect_set("of_doc_id")).alias("of_doc_ids"), F.array_sort(F.collect_list(F.struct("of_doc_id", "start", "n_words", "of_start", "similarity"))).alias("originals"), F.min("class_id").alias("class_id"))
+    merged = merged.select("a", "start", (F.col("end") - F.col("start")).alias("n_words"), "best.of_doc_id", "best.of_start", "best.similarity", "of_doc_ids", "originals", "class_id")
     spread = merged.join(ids.select(F.col("key").alias("a"), "doc_id"), "a").drop("a")
     return spread.select(*copies.columns).unionByName(copies)
 

@@ -190,3 +190,57 @@ def test_cells_match_brute_force():
         c, first, last, _ = S._unpack(np.int64(s))
         same.setdefault(q, set()).add(tuple(S.tokens(dict(texts)[t], p.shingle)[first:last + p.t].tolist()))
     assert all(len(v) == 1 for v in same.values())  # a class has the same tokens
+
+
+def test_a_passage_near_two_families_links_both(spark):
+    """60 passages with one word changed in four texts, another word in three, and unchanged in one: that one is near both kinds,
+    which are not near each other, and both have links of their own without it."""
+    from provenant.llm.common import smallest_in_component
+
+    rng = random.Random(21)
+    p, texts = S.Params(), []
+    for _ in range(60):
+        base = prose(rng, 54, 10**6).split()
+        q, r = list(base), list(base)
+        q[18], r[36] = f"q{rng.randrange(10**9)}", f"r{rng.randrange(10**9)}"
+        assert near(" ".join(base), " ".join(q), p) and near(" ".join(base), " ".join(r), p) and not near(" ".join(q), " ".join(r), p)
+        texts += [" ".join([prose(rng, 50, 10**6), *x, prose(rng, 50, 10**6)]) for x in [q] * 4 + [r] * 3 + [base]]
+    out, _ = named_by(spark, texts)
+    links = np.array([(r.doc_id, i) for r in out for i in r.of_doc_ids])
+    of = dict(zip(*(x.tolist() for x in smallest_in_component(links[:, 0], links[:, 1]))))
+    joined = sum(of.get(8 * f + 7) == of[8 * f] == of[8 * f + 4] for f in range(60))
+    assert joined >= 55, joined
+
+
+def test_classes_hold_all_near_documents_together(spark):
+    rng = random.Random(22)
+    p, texts = S.Params(), []
+    line = prose(rng, 30, 10**6)  # shared by all, too short to repeat
+    for _ in range(12):
+        base = f"{prose(rng, 40, 10**6)} {line} {prose(rng, 30, 10**6)}".split()
+        for k in range(7):
+            q = list(base)
+            if k:
+                q[3 + 5 * k] = f"v{rng.randrange(10**9)}"
+            texts.append(" ".join([prose(rng, 30, 10**6), *q, prose(rng, 30, 10**6)]))
+    out, named = named_by(spark, texts)
+    classes = {}
+    for r in out:
+        for i in (r.doc_id, *r.of_doc_ids):
+            classes.setdefault(i, set()).add(r.class_id)
+    pairs = [(i, k) for i in range(len(texts)) for k in range(i) if i // 7 == k // 7 and near(texts[i], texts[k], p)]
+    assert sum(bool(classes.get(i, set()) & classes.get(k, set())) for i, k in pairs) >= 0.98 * len(pairs)
+    assert all(len({i // 7 for i, c in classes.items() if k in c}) == 1 for k in {r.class_id for r in out})
+
+
+def test_pairs_of_a_large_group_are_fewer_than_its_rows():
+    """A word repeated with others between: all rows of a group of 400 are near one another."""
+    rng = np.random.default_rng(3)
+    p = S.Params()
+    near_ = rng.integers(1, 2**32, 2 * p.t - 1).astype("<u4")[None, :].repeat(400, 0)
+    near_[np.arange(400), rng.integers(0, 2 * p.t - 1, 400)] = rng.integers(1, 2**32, 400)
+    alone = rng.integers(1, 2**32, (50, 2 * p.t - 1)).astype("<u4")
+    alone[:, 30:60] = near_[0, 30:60]  # a common line
+    rows = np.concatenate([near_, alone])
+    x, y = S.meet(np.zeros(450, np.int64), np.arange(450), rows, p)
+    assert len(x) == 399 and x.max() < 400 and (x > y).all()
