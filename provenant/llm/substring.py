@@ -35,6 +35,7 @@ from __future__ import annotations
 import gc
 import itertools
 import math
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -935,8 +936,10 @@ def find_passages(docs: DataFrame, params: Params = Params(), text: str = "text"
     def put(make: Callable[[], DataFrame]) -> DataFrame:
         """A stored table; files of the shuffles before it go with the objects that stand for them."""
         out = tables.put(make())
-        gc.collect()
-        docs.sparkSession._jvm.System.gc()
+        for _ in range(2):  # the driver's Python lets go first, a moment later Spark's cleaner sees it
+            gc.collect()
+            docs.sparkSession._jvm.System.gc()
+            time.sleep(0.5)
         return out
 
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
