@@ -4,28 +4,32 @@ Tokens are shingles of ``shingle`` words (A-Z lower-cased; a word is a run of an
 function, the Cartesian tree of a text's token hashes has a node c for every maximal range [l, r] whose least hash is at
 c: all passages [i, j] with l <= i <= c <= j <= r share that signature, so the range stands for all of them. Only ranges
 of at least t tokens (``words`` words) are kept, about 2 n / t of n. Their nodes are the minima of sliding windows of t
-tokens; of those the tree needs only the nearest smaller ones, which one pass with a stack gives.
+tokens; a passage of t tokens is told by the first and last start that its node is the least of.
+
+Between the steps rows are dealt as arrays: those of a bucket are one row of bytes, so that Spark shuffles few rows.
 
 1. An Arrow pass emits (signature value, text, range) for ``hashes`` functions. Values of a single text go. A value that a
-   piece of the input holds in three texts is known to be shared: only its first two go to the shuffle by value.
+   piece of the input holds in three texts is known to be shared: its further rows go anywhere.
 2. Per text, the ranges of every two functions are joined as intervals: where both hold a passage of t tokens, a cell
    (both values, the starts of these passages) arises. Two passages share a cell key if two functions agree on them.
 3. Cells of a key with the same tokens around them are a class. Its members repeat the member of smallest hash, word by
-   word. The classes of a key, each by that member, meet the largest of them, its hub, whatever the partitions.
-4. Pairs of texts are verified on the tokens that passages around their anchors can read; every text is tokenised once for
-   all its pairs. Along the aligned diagonals every passage of t tokens is compared, and those whose Jaccard similarity (tokens of the one that have a partner in the other) reaches ``similarity`` are joined
-   into spans.
-5. A class is open if no verified passage of its text covers its shared token. ``rounds`` times the open classes of a key
-   meet the largest of them as a further hub. Those still open meet all others of their key in memory, in blocks: two go
-   on if a passage of the one holds as many tokens of the other as the threshold needs, found through their rarer tokens,
-   so that a frequent line alone makes no pairs. These pairs are verified as in 4.
+   word; the class goes by that member. Of ``few`` classes of a key all pairs are verified.
+4. Of more classes the tokens around the shared one are read, and the passages that hold it are compared in memory, a large key
+   in blocks: only classes that near passages of this key join already are not compared with one another. Pairs that cannot
+   share as many tokens as the threshold needs are told by their rarer tokens, so a frequent line alone makes no pairs.
+   What goes on are the pairs that join, fewer than classes (times blocks).
+5. Pairs of texts are verified on the tokens that passages around their anchors can read; every text is tokenised once for
+   all its pairs. Along the aligned diagonals every passage of t tokens is compared, and those whose Jaccard similarity
+   (tokens of the one that have a partner in the other) reaches ``similarity`` are joined into spans.
+6. Overlapping passages of a text are one stretch; stretches that found passages link have one class_id.
 
 Two passages of t tokens at the threshold agree on a function with probability 0.8, so on two or more of four with
-0.973 (0.996 at similarity 0.9, 1 for copies); longer passages have more chances, as they hold more ranges. Nothing else
-is lost: a passage has met every other of its key or repeats a verified original.
+0.973 (0.996 at similarity 0.9, 1 for copies); longer passages have more chances, as they hold more ranges. Two near passages
+that agree so are linked or are joined through others, so they have one class_id. A token's partner is the nearest one, in
+step 4 among the tokens around the shared one and in step 5 in the text, so in runs of repeated words the two can differ.
 
 Defined results: a text of fewer than ``words`` words, null and empty ones included, has no passage; exact copies of
-such length repeat the copy of smallest doc_id over their whole length, and any other passage is reported for every copy;
+such length repeat the copy of smallest doc_id over their whole length (class_id: the text's hash), and any other passage is reported for every copy;
 an original is the text of smaller hash, named by its smallest doc_id; ties go to the smaller position;
 null doc_ids are reported as null; an empty table has no rows. Texts are told apart by a hash of 64 bits.
 """
