@@ -244,3 +244,22 @@ def test_pairs_of_a_large_group_are_fewer_than_its_rows():
     rows = np.concatenate([near_, alone])
     x, y = S.meet(np.zeros(450, np.int64), np.arange(450), rows, p)
     assert len(x) == 399 and x.max() < 400 and (x > y).all()
+
+
+def test_keys_dealt_into_blocks_join_the_same(spark):
+    rng = random.Random(23)
+    texts = []
+    for _ in range(4):
+        base = prose(rng, 70, 10**6).split()
+        for k in range(24):
+            q = list(base)
+            q[k % 12] = f"v{rng.randrange(10**9)}"
+            texts.append(" ".join([prose(rng, 30, 10**6), *q, prose(rng, 30, 10**6)]))
+    df = frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    made = []
+    for block in (8192, 7):
+        classes = {}
+        for r in S.find_passages(df, S.Params(block=block)).collect():
+            classes.setdefault(r.class_id, set()).update((r.doc_id, *r.of_doc_ids))
+        made.append(sorted(map(sorted, classes.values())))
+    assert made[0] == made[1] == [list(range(24 * f, 24 * f + 24)) for f in range(4)]
