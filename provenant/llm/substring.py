@@ -6,7 +6,8 @@ c: all passages [i, j] with l <= i <= c <= j <= r share that signature, so the r
 of at least t tokens (``words`` words) are kept, about 2 n / t of n. Their nodes are the minima of sliding windows of t
 tokens; a passage of t tokens is told by the first and last start that its node is the least of.
 
-Between the steps rows are dealt as arrays: those of a bucket are one row of bytes, so that Spark shuffles few rows.
+Between the steps rows are dealt as arrays: all that a task has for a bucket is one row, a column of bytes for each kind, so that Spark
+shuffles few rows: tasks times buckets, whatever the size of a group (or as many as the integers need).
 
 1. An Arrow pass emits (signature value, text, range) for ``hashes`` functions. Values of a single text go. A value that a
    piece of the input holds in three texts is known to be shared: its further rows go anywhere.
@@ -222,9 +223,9 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-BLOBS = "bucket bigint, kind bigint, name bigint, x binary, y binary, z binary"
-_FIELDS = pa.schema([(n, pa.int64()) for n in ("bucket", "kind", "name")] + [(n, pa.binary()) for n in "xyz"])
-CELL, REPEAT, PAIR, ASKED, PART, TEXT = range(6)
+CELL, REPEAT, PAIR, ASKED, PART, PLACES, TOKENS, TEXT = KINDS = ("cell", "repeat", "pair", "asked", "part", "places", "tokens", "text")
+BLOBS = ", ".join(["bucket bigint", "name bigint", *(f"{k} binary" for k in KINDS)])
+_FIELDS = pa.schema([(n, pa.int64()) for n in ("bucket", "name")] + [(k, pa.binary()) for k in KINDS])
 
 
 def _mixed(*columns: np.ndarray) -> np.ndarray:
@@ -239,7 +240,7 @@ def _rows(columns: list[np.ndarray]) -> np.ndarray:
     return np.stack([c.astype(np.int64, copy=False) for c in columns], 1)
 
 
-Dealt = tuple[int, np.ndarray, np.ndarray]
+Dealt = tuple[str, np.ndarray, np.ndarray]
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -247,12 +248,13 @@ def _buckets(spark: SparkSession) -> int:
 
 
 def _blobs(made: Iterator[Dealt | pa.RecordBatch], buckets: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Of (kind, by, rows of integers): those of a bucket (``by`` modulo ``buckets``) as one row of bytes, so that a shuffle moves
-    arrays; with rows of differing length (PART) their places and tokens follow. A task gathers about ``most`` integers first,
-    whatever it was given at once, so there are no more of these rows than tasks times buckets, or than so many integers need."""
+    """Of (kind, by, rows of integers): those of a bucket (``by`` modulo ``buckets``) as one row of bytes, all kinds in it, so that a
+    shuffle moves arrays; with rows of differing length (PART) their places and tokens follow. A task gathers about ``most`` integers
+    first, whatever it was given at once, so there are no more of these rows than tasks times buckets, or than so many integers need."""
     held, size = {}, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
+        made_of = {}
         for kind, several in held.items():
             by, rows, *more = (np.concatenate(c) for c in zip(*several))
             where = np.mod(by, buckets)
@@ -269,9 +271,11 @@ def _blobs(made: Iterator[Dealt | pa.RecordBatch], buckets: int, most: int = 1 <
                 pick = np.repeat(first - ends[:-1], n) + np.arange(ends[-1])
                 cut = ends[at].tolist()
                 columns += [[c[i:j].tobytes() for i, j in zip(cut, cut[1:])] for c in (m[pick] for m in more)]
-            n = len(at) - 1
-            columns = [pa.array(c, pa.binary()) for c in columns] + [pa.nulls(n, pa.binary())] * (3 - len(columns))
-            yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]], pa.int64()), pa.array(np.full(n, kind, np.int64)), pa.nulls(n, pa.int64()), *columns], schema=_FIELDS)
+            made_of |= {k: dict(zip(where[at[:-1]].tolist(), c)) for k, c in zip((kind, PLACES, TOKENS), columns)}
+        some = sorted(set().union(*made_of.values()))
+        if some:
+            blobs = [pa.array([made_of[k].get(b) for b in some], pa.binary()) if k in made_of else pa.nulls(len(some), pa.binary()) for k in KINDS]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.nulls(len(some), pa.int64()), *blobs], schema=_FIELDS)
 
     for x in made:
         if isinstance(x, pa.RecordBatch):
@@ -288,40 +292,45 @@ def _blobs(made: Iterator[Dealt | pa.RecordBatch], buckets: int, most: int = 1 <
 
 
 def _gathered(blobs: DataFrame, work, schema: str = BLOBS) -> DataFrame:
-    """The result of ``work`` on blobs, those of a bucket one after another, by kind."""
+    """The result of ``work`` on blobs, those of a bucket one after another."""
     spark = blobs.sparkSession
     parts, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), _buckets(spark)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _blobs(work(batches), buckets)
 
-    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(whole, schema)
+    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(whole, schema)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[pa.RecordBatch]]]:
-    """For every bucket its blobs by kind."""
-    held, last = {}, None
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """For every bucket its blobs."""
+    held, last = [], None
     for b in batches:
         if not b.num_rows:
             continue
-        bucket, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-        at = np.append(np.flatnonzero(_starts(bucket, kind)), b.num_rows)
+        bucket = b.column(0).to_numpy()
+        at = np.append(np.flatnonzero(_starts(bucket)), b.num_rows)
         for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
             if last is not None and bucket[i] != last:
                 yield held
-                held = {}
+                held = []
             last = bucket[i]
-            held.setdefault(int(kind[i]), []).append(b.slice(i, j - i))
+            held.append(b.slice(i, j - i))
     if held:
         yield held
 
 
-def _bytes(held: list[pa.RecordBatch], column: int = 3) -> bytes:
-    return b"".join(x.as_buffer() for b in held for x in b.column(column))
+def _bytes(held: list[pa.RecordBatch], kind: str) -> bytes:
+    return b"".join(x.as_buffer() for b in held for x in b.column(kind).drop_null())
 
 
-def _matrix(held: dict[int, list[pa.RecordBatch]], kind: int, width: int) -> np.ndarray:
-    return np.frombuffer(_bytes(held.get(kind, [])), np.int64).reshape(-1, width)
+def _matrix(held: list[pa.RecordBatch], kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(_bytes(held, kind), np.int64).reshape(-1, width)
+
+
+def _only(blobs: DataFrame, kind: str) -> DataFrame:
+    """The blobs of one kind."""
+    return blobs.where(F.col(kind).isNotNull()).select("bucket", "name", *[F.col(k) if k == kind else F.lit(None).cast("binary").alias(k) for k in KINDS])
 
 
 def _ranges(df: DataFrame, params: Params) -> DataFrame:
@@ -459,12 +468,11 @@ def _paired(text: np.ndarray, span: np.ndarray, x: np.ndarray, y: np.ndarray) ->
 def _with_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """Blobs dealt by text, and the texts (key, text) themselves."""
     b = _buckets(texts.sparkSession)
-    null = F.lit(None).cast("binary")
-    as_blobs = texts.select(F.pmod("key", F.lit(b).cast("bigint")).alias("bucket"), F.lit(TEXT).cast("bigint").alias("kind"), F.col("key").alias("name"), F.col("text").cast("binary").alias("x"), null.alias("y"), null.alias("z"))
-    return asked.unionByName(as_blobs)
+    as_blobs = texts.select(F.pmod("key", F.lit(b).cast("bigint")).alias("bucket"), F.col("key").alias("name"), F.col("text").cast("binary").alias("text"))
+    return asked.unionByName(as_blobs, allowMissingColumns=True)
 
 
-def _read(held: dict[int, list[pa.RecordBatch]], width: int, params: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _read(held: list[pa.RecordBatch], width: int, params: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The rows asked of the texts of a bucket, sorted, in pieces of some texts: rows, the index of each row's text, the tokens of these texts
     on end, where each begins and how many it has."""
     asked = _matrix(held, ASKED, width)
@@ -479,11 +487,11 @@ def _read(held: dict[int, list[pa.RecordBatch]], width: int, params: Params) ->
         mine = names[of] == asked[:, 0]
         return asked[mine], of[mine], tok, np.cumsum(sizes) - sizes, sizes
 
-    for b in held.get(TEXT, []) if left else []:
-        for i, k in enumerate(b.column(2).to_pylist()):
+    for b in held if left else []:
+        for i, k in enumerate(b.column("name").to_pylist()):
             if k in left:
                 left.remove(k)
-                piece.append((k, b.column(3)[i].as_py()))
+                piece.append((k, b.column(TEXT)[i].as_py()))
                 size += len(piece[-1][1]) // 6 + 1
                 if size >= params.words_at_once:
                     yield taken()
@@ -883,8 +891,7 @@ def _found(blobs: DataFrame, params: Params) -> DataFrame:
             if len(repeats):
                 made.append(_repeats(repeats, params))
             if len(anchors):
-                part = held[PART]
-                made.append(spans(_matrix(held, PART, 5), np.frombuffer(_bytes(part, 4), "<i4"), np.frombuffer(_bytes(part, 5), "<u8"), anchors, params))
+                made.append(spans(_matrix(held, PART, 5), np.frombuffer(_bytes(held, PLACES), "<i4"), np.frombuffer(_bytes(held, TOKENS), "<u8"), anchors, params))
             for columns in made:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
@@ -950,10 +957,9 @@ def find_passages(docs: DataFrame, params: Params = Params(), text: str = "text"
     rows = docs.select(docs[id_column].alias("doc_id"), F.xxhash64(t).alias("key"), t.alias("text"))
     texts = rows.select("key", "text")
     groups = put(lambda: _groups(_cells(_shared(_ranges(texts, params), params), params), params))
-    of = lambda kind: groups.where(F.col("kind") == kind)
-    crossing = put(lambda: _crossing(_near(of(ASKED), texts, params), params))
-    parts = lambda: _parts(_sides(of(PAIR).unionByName(crossing), params), texts, params)
-    found = put(lambda: _found(of(REPEAT).unionByName(parts()), params).withColumn("link", F.xxhash64("a", "b", "start", "n_words", "of_start")))
+    crossing = put(lambda: _crossing(_near(_only(groups, ASKED), texts, params), params))
+    parts = lambda: _parts(_sides(_only(groups, PAIR).unionByName(crossing), params), texts, params)
+    found = put(lambda: _found(_only(groups, REPEAT).unionByName(parts()), params).withColumn("link", F.xxhash64("a", "b", "start", "n_words", "of_start")))
     tables.drop(groups, crossing)
     node = lambda side: F.max(F.when(F.col("side") == side, F.col("node")))
     links = tables.put(_nodes(found).groupBy("link").agg(node(0).alias("a"), node(1).alias("b")))

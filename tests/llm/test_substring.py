@@ -263,3 +263,52 @@ def test_keys_dealt_into_blocks_join_the_same(spark):
             classes.setdefault(r.class_id, set()).update((r.doc_id, *r.of_doc_ids))
         made.append(sorted(map(sorted, classes.values())))
     assert made[0] == made[1] == [list(range(24 * f, 24 * f + 24)) for f in range(4)]
+
+
+def test_a_task_makes_one_row_of_a_bucket():
+    """All kinds of a bucket are one row, so that rows between the steps are tasks times buckets at most; nothing of it is lost."""
+    rng = np.random.default_rng(5)
+    by = lambda n: rng.integers(-2**62, 2**62, n)
+    made = [(kind, by(n), rng.integers(0, 2**40, (n, width))) for kind, n, width in ((S.REPEAT, 3000, 5), (S.PAIR, 2000, 4), (S.ASKED, 7, 4), (S.PAIR, 100, 4))]
+    heads = rng.integers(0, 2**40, (300, 5))
+    heads[:, 4] = rng.integers(0, 20, 300)
+    total = int(heads[:, 4].sum())
+    places, toks = rng.integers(0, 9999, total).astype("<i4"), rng.integers(0, 2**63, total).astype("<u8")
+    made.append((S.PART, by(300), heads, places, toks))
+    batches = list(S._blobs(iter(made), 16))
+    assert sum(b.num_rows for b in batches) == 16
+    got = {b: held for b, held in zip(range(16), S._by_bucket(iter(batches)))}
+    for kind, width in ((S.REPEAT, 5), (S.PAIR, 4), (S.ASKED, 4)):
+        where, rows = (np.concatenate(c) for c in zip(*[m[1:] for m in made if m[0] == kind]))
+        for b, held in got.items():
+            assert sorted(S._matrix(held, kind, width).tolist()) == sorted(rows[np.mod(where, 16) == b].tolist())
+    ends = np.cumsum(heads[:, 4])
+    for b, held in got.items():
+        mine = np.flatnonzero(np.mod(made[-1][1], 16) == b)
+        pick = np.concatenate([np.arange(ends[i] - heads[i, 4], ends[i]) for i in mine]) if len(mine) else np.empty(0, int)
+        assert np.array_equal(S._matrix(held, S.PART, 5), heads[mine])
+        assert S._bytes(held, S.PLACES) == places[pick].tobytes() and S._bytes(held, S.TOKENS) == toks[pick].tobytes()
+
+
+def test_rows_between_steps_do_not_follow_the_size_of_a_group(spark):
+    """Near copies of one passage, 40 and 160 of them: a step makes a row for each task and bucket at most."""
+    from pyspark.sql import functions as F
+
+    rng, p = random.Random(31), S.Params(few=1)
+    base = prose(rng, 70, 10**6).split()
+    for n in (40, 160):
+        texts = []
+        for k in range(n):
+            q = list(base)
+            q[k % 60] = f"v{k}"
+            texts.append((k, " ".join([prose(rng, 20, 10**6), *q]).encode()))
+        df = spark.createDataFrame(texts, "key long, text binary").repartition(4)
+        made = {}
+        made["shared"] = S._shared(S._ranges(df, p), p)
+        made["cells"] = S._cells(made["shared"], p)
+        made["groups"] = S._groups(made["cells"], p).persist()
+        made["crossing"] = S._crossing(S._near(S._only(made["groups"], S.ASKED), df, p), p)
+        for step, blobs in made.items():
+            rows = blobs.groupBy(F.spark_partition_id(), "bucket").count().collect()
+            assert rows and max(r["count"] for r in rows) == 1, step
+        made["groups"].unpersist()
