@@ -970,7 +970,8 @@ def find_passages(docs: DataFrame, params: Params = Params(), text: str = "text"
     long = F.octet_length("text") >= 2 * params.words - 1  # shorter ones cannot have so many words
     ids = _counted(rows.where(long)).where(F.col("n") >= params.words)
     ids = tables.put(ids)
-    first = ids.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    # stored, so that both sides of the joins with it are plain exchanges, of which a hot original's rows can be dealt anew
+    first = tables.put(ids.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     copies = ids.join(first.where("copies > 1"), "key").where(~F.col("doc_id").eqNullSafe(F.col("least")))
     copies = copies.select("doc_id", F.lit(0).cast("bigint").alias("start"), F.col("n").alias("n_words"), F.col("least").alias("of_doc_id"), F.lit(0).cast("bigint").alias("of_start"), F.lit(1.0).alias("similarity"), F.array("least").alias("of_doc_ids"),
                            F.array(F.struct(F.col("least").alias("of_doc_id"), F.lit(0).cast("bigint").alias("start"), F.col("n").alias("n_words"), F.lit(0).cast("bigint").alias("of_start"), F.lit(1.0).alias("similarity"))).alias("originals"), F.col("key").alias("class_id"))
