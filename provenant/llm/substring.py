@@ -223,7 +223,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-CELL, REPEAT, PAIR, ASKED, PART, PLACES, TOKENS, TEXT = KINDS = ("cell", "repeat", "pair", "asked", "part", "places", "tokens", "text")
+CELL, REPEAT, ASKED, SIDE, PAIR, PART, PLACES, TOKENS, TEXT = KINDS = ("cell", "repeat", "asked", "side", "pair", "part", "places", "tokens", "text")
 BLOBS = ", ".join(["bucket bigint", "name bigint", *(f"{k} binary" for k in KINDS)])
 _FIELDS = pa.schema([(n, pa.int64()) for n in ("bucket", "name")] + [(k, pa.binary()) for k in KINDS])
 
@@ -244,7 +244,9 @@ Dealt = tuple[str, np.ndarray, np.ndarray]
 
 
 def _buckets(spark: SparkSession) -> int:
-    return max(128, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """As many for each partition."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return parts * -(-128 // parts)
 
 
 def _blobs(made: Iterator[Dealt | pa.RecordBatch], buckets: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -299,7 +301,7 @@ def _gathered(blobs: DataFrame, work, schema: str = BLOBS) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _blobs(work(batches), buckets)
 
-    return blobs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(whole, schema)
+    return blobs.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(whole, schema)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -413,7 +415,7 @@ def _cells(shared: DataFrame, params: Params) -> DataFrame:
 
 def _groups(made: DataFrame, params: Params) -> DataFrame:
     """Of the cells of each key held by several texts: what members of a class repeat of its first one (REPEAT: a, b, first and
-    last start, shift), the pairs of a key of ``few`` classes at most (PAIR: a, b and the places of the shared token), and the classes of all
+    last start, shift), the pairs of a key of ``few`` classes at most (SIDE), and the classes of all
     other keys, whose surroundings are to be read (ASKED: text, key, span, number of classes).
 
     A class goes by its first member. Where two classes of a key have the same text as first, each goes by its next text too, so
@@ -447,7 +449,7 @@ def _groups(made: DataFrame, params: Params) -> DataFrame:
                 lead = k_at[few & (n == k)]
                 x, y = (np.concatenate([at[lead + i] for i in c] or [lead]) for c in zip(*itertools.combinations(range(k), 2)))
                 if len(x):
-                    yield _paired(text, span, x, y)
+                    yield from _paired(text, span, x, y)
             wanted = np.repeat(~few & (n > 1), n)
             nxt = np.full(len(at), -1)
             nxt[np.searchsorted(at, first[other[::-1]])] = other[::-1]
@@ -459,24 +461,38 @@ def _groups(made: DataFrame, params: Params) -> DataFrame:
     return _gathered(made, work)
 
 
-def _paired(text: np.ndarray, span: np.ndarray, x: np.ndarray, y: np.ndarray) -> Dealt:
-    """Pairs of rows as a, b, a_at, b_at, the text of greater hash first."""
+def _paired(text: np.ndarray, span: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[Dealt]:
+    """What the check of pairs of rows asks of their two texts (SIDE: text, the other, side, place of the shared token in each); side 0 is
+    the text of greater hash."""
     a, b = np.where(text[x] > text[y], x, y), np.where(text[x] > text[y], y, x)
-    return PAIR, _mixed(text[a], text[b]), _rows([text[a], text[b], span[a] >> 32, span[b] >> 32])
+    for side, (me, other) in enumerate(((a, b), (b, a))):
+        yield SIDE, text[me], _rows([text[me], text[other], np.full(len(me), side), span[me] >> 32, span[other] >> 32])
 
 
 def _with_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """Blobs dealt by text, and the texts (key, text) themselves."""
+    """Blobs dealt by text, and the texts (key, text) themselves, of copies one from each task."""
     b = _buckets(texts.sparkSession)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            new = []
+            for i, k in enumerate(batch.column(1).to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            yield batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int64()))
+
     as_blobs = texts.select(F.pmod("key", F.lit(b).cast("bigint")).alias("bucket"), F.col("key").alias("name"), F.col("text").cast("binary").alias("text"))
-    return asked.unionByName(as_blobs, allowMissingColumns=True)
+    return asked.unionByName(as_blobs.mapInArrow(once, "bucket bigint, name bigint, text binary"), allowMissingColumns=True)
 
 
-def _read(held: list[pa.RecordBatch], width: int, params: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The rows asked of the texts of a bucket, sorted, in pieces of some texts: rows, the index of each row's text, the tokens of these texts
+def _read(held: list[pa.RecordBatch], kind: str, width: int, params: Params) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows asked of the texts of a bucket, sorted, each once, in pieces of some texts: rows, the index of each row's text, the tokens of these texts
     on end, where each begins and how many it has."""
-    asked = _matrix(held, ASKED, width)
+    asked = _matrix(held, kind, width)
     asked = asked[np.lexsort(asked.T[::-1])]
+    asked = asked[_starts(*asked.T)]
     left, piece, size = set(np.unique(asked[:, 0]).tolist()), [], 0
 
     def taken() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -508,7 +524,7 @@ def _near(asked: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
         reach = np.arange(1 - t, t + 1)
         for held in _by_bucket(batches):
-            for rows, of, tok, base, sizes in _read(held, 4, params):
+            for rows, of, tok, base, sizes in _read(held, ASKED, 4, params):
                 for k in range(0, len(rows), 5000):
                     text, key, span, n = rows[k:k + 5000].T
                     at = (span >> 32)[:, None] + reach
@@ -698,7 +714,7 @@ def meet(group: np.ndarray, text: np.ndarray, near: np.ndarray, params: Params)
 
 
 def _crossing(near: DataFrame, params: Params) -> DataFrame:
-    """The pairs (PAIR) of classes of one key that join all that are near each other by what is around their shared token."""
+    """The pairs (SIDE) of classes of one key that join all that are near each other by what is around their shared token."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
         for held in _by_bucket(batches):
             rows = _matrix(held, CELL, 5 + params.t)
@@ -711,26 +727,12 @@ def _crossing(near: DataFrame, params: Params) -> DataFrame:
                 around = np.ascontiguousarray(part[:, 5:]).view("<u4")[:, :2 * params.t - 1]
                 x, y = meet(np.cumsum(_starts(*part[:, :3].T)) - 1, part[:, 3], around, params)
                 if len(x):
-                    yield _paired(part[:, 3], part[:, 4], x, y)
+                    yield from _paired(part[:, 3], part[:, 4], x, y)
                 lo = hi
 
     return _gathered(near, work)
 
 
-def _sides(pairs: DataFrame, params: Params) -> DataFrame:
-    """What the check of each pair asks of its two texts (ASKED: text, the other, side, own place, other place)."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
-        for held in _by_bucket(batches):
-            rows = _matrix(held, PAIR, 4)
-            rows = rows[np.lexsort(rows.T[::-1])]
-            a, b, x, y = rows[_starts(*rows.T)].T
-            side = np.zeros(len(a), np.int64)
-            yield ASKED, a, _rows([a, b, side, x, y])
-            yield ASKED, b, _rows([b, a, side + 1, y, x])
-
-    return _gathered(pairs, work)
-
-
 def covered(run: np.ndarray, at: np.ndarray, before: np.ndarray | int, after: np.ndarray | int, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(run, place) of all places of a run from ``before`` before to ``after`` behind any of its places ``at``, within bounds
     of the run, once and in order. Rows are sorted by run and place; all other values are those of the run."""
@@ -748,7 +750,7 @@ def _parts(asked: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
         for held in _by_bucket(batches):
-            for rows, of, tok, base, sizes in _read(held, 5, params):
+            for rows, of, tok, base, sizes in _read(held, SIDE, 5, params):
                 me, other, side, at, their = rows.T
                 a, b = np.where(side == 0, me, other), np.where(side == 0, other, me)
                 first = side == 0
@@ -958,7 +960,7 @@ def find_passages(docs: DataFrame, params: Params = Params(), text: str = "text"
     texts = rows.select("key", "text")
     groups = put(lambda: _groups(_cells(_shared(_ranges(texts, params), params), params), params))
     crossing = put(lambda: _crossing(_near(_only(groups, ASKED), texts, params), params))
-    parts = lambda: _parts(_sides(_only(groups, PAIR).unionByName(crossing), params), texts, params)
+    parts = lambda: _parts(_only(groups, SIDE).unionByName(crossing), texts, params)
     found = put(lambda: _found(_only(groups, REPEAT).unionByName(parts()), params).withColumn("link", F.xxhash64("a", "b", "start", "n_words", "of_start")))
     tables.drop(groups, crossing)
     node = lambda side: F.max(F.when(F.col("side") == side, F.col("node")))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from provenant.llm import substring as S
@@ -312,3 +313,28 @@ def test_rows_between_steps_do_not_follow_the_size_of_a_group(spark):
             rows = blobs.groupBy(F.spark_partition_id(), "bucket").count().collect()
             assert rows and max(r["count"] for r in rows) == 1, step
         made["groups"].unpersist()
+
+
+def test_buckets_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    n = S._buckets(spark)
+    blobs = next(S._blobs(iter([(S.CELL, np.arange(n), np.arange(n)[:, None])]), n))
+    df = spark.createDataFrame(blobs.to_pandas().replace({np.nan: None}), S.BLOBS)
+
+    def work(batches):
+        for held in S._by_bucket(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[0].as_py() for b in held], pa.int64())], names=["bucket"])
+
+    found = S._gathered(df, work, "bucket long").groupBy(F.spark_partition_id()).count().collect()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(found) == parts and {r["count"] for r in found} == {n // parts}
+
+
+def test_a_task_sends_a_text_once(spark):
+    """500 copies of a text in four pieces are four rows beside the others."""
+    texts = spark.createDataFrame([(7 if k % 2 else k + 100, "a b c" if k % 2 else f"t{k}") for k in range(1000)], "key long, text string").repartition(4)
+    asked = spark.createDataFrame([], S.BLOBS)
+    rows = S._with_texts(asked, texts).select("name", "text").collect()
+    assert len(rows) <= 504 and len({r.name for r in rows}) == 501
+    assert all(bytes(r.text) == (b"a b c" if r.name == 7 else b"t%d" % (r.name - 100)) for r in rows)
