@@ -744,8 +744,8 @@ def covered(run: np.ndarray, at: np.ndarray, before: np.ndarray | int, after: np
 
 
 def _parts(asked: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
-    """What the check of a pair reads of its texts (PART: x: a, b, side, tokens of the text, number given; y: their places; z:
-    the tokens) with its anchors (PAIR). Every text is tokenised once for all its pairs."""
+    """What the check of a pair reads of its texts (PART: a, b, side, tokens of the text, number given; PLACES: their places;
+    TOKENS: the tokens) with its anchors (PAIR: a, b, place in each). Every text is tokenised once for all its pairs."""
     t = params.t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[Dealt]:
