@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,61 @@ def release() -> None:
         trim(0)
 
 
+_KEPT: dict = {}
+_IDLE: list[threading.Timer] = []
+
+
+def kept(key: Hashable, make: Callable):
+    """What this worker keeps between tasks: Spark reuses Python workers, so a later task finds what an earlier one made.
+    Only one thing is kept; a task that asks for another one, or lets go, has the memory for itself."""
+    while _IDLE:
+        _IDLE.pop().cancel()
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """What an earlier task of this worker kept goes, and its memory goes back to the system."""
+    while _IDLE:
+        _IDLE.pop().cancel()
+    if _KEPT:
+        _KEPT.clear()
+        release()
+
+
+def rests(seconds: float) -> None:
+    """After a task: what is kept goes if no other task asks for it soon, so an idle worker holds no memory."""
+    timer = threading.Timer(seconds, let_go)
+    timer.daemon = True
+    timer.start()
+    _IDLE.append(timer)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Meanwhile a batch of rows goes to Python when it has so many bytes, however few rows they are: Spark counts rows (10,000),
+    and both sides hold the batch. It holds for what is both planned and run
+    in the meantime. The session's setting comes back, and a smaller one stays."""
+    own = spark.conf.get(BATCH_BYTES, None)  # None: the default holds
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES))
+    if 0 < now <= size:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, own)
+
+
 class Tables:
     """Intermediate tables, written once in the shared folder (lineage ends there); dropped when no longer needed."""
 

@@ -3,7 +3,8 @@
 Public vocabularies encode each word (a run of anything but ASCII white space) as it stands at the start of a word: a
 sentencepiece one with byte fallback, and a byte-level one for many languages. Per text that gives characters per token of
 both, and of the first the share of byte-fallback tokens and the entropy of the token distribution. Word types are encoded once
-and remembered, in a table of bounded size that is emptied when it is full, so results do not depend on it.
+and remembered, in a table of bounded size that is emptied when it is full, so results do not depend on it. A text goes to
+Python once, in batches of bounded bytes, and is measured in pieces, so a task's memory follows these and its longest text.
 
 Bands are measured: over all texts that pass the surface rules, equal ones counted once, each language and each script has
 for every doubling of length the quantiles 0.05, 0.5 and 0.95 of each figure. A text is rejected when a figure lies further from
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, Tables, mix64, release, table
+from .common import GOLDEN, Tables, let_go, mix64, release, small_batches, table
 
 SYMBOLS = b"#*$%&|<>"
 FAMILIES = ("latin", "greek", "cyrillic", "arabic", "indic", "cjk", "other", "none")
@@ -65,7 +66,8 @@ class Rules:
     #: Bands are counted; up to so many rows of them are sent to all tasks, so that texts are not dealt by their language.
     broadcast_rows: int = 200_000
     types_kept: int = 100_000
-    words_at_once: int = 400_000
+    words_at_once: int = 100_000
+    batch_bytes: int = 8_000_000
 
     def models(self) -> tuple[str, str]:
         import public_tokenizers
@@ -222,34 +224,46 @@ def _metrics(texts: pa.Array, types: Types, rules: Rules) -> pa.StructArray:
             found.append(pa.StructArray.from_arrays([pa.array(m[n], t) for n, t in METRICS], [n for n, _ in METRICS]))
         piece, size = [], 0
 
-    for t in texts.cast(pa.large_binary()).to_pylist():
-        piece.append(t or b"")
-        size += len(t or b"") // 6 + 1
-        if size >= rules.words_at_once:
-            flush()
+    for k in range(0, len(texts), 500):
+        for t in texts.slice(k, 500).cast(pa.large_binary()).to_pylist():
+            piece.append(t or b"")
+            size += len(t or b"") // 6 + 1
+            if size >= rules.words_at_once:
+                flush()
     flush()
     empty = pa.array([], pa.struct([pa.field(n, t) for n, t in METRICS]))
     return pa.concat_arrays(found) if found else empty
 
 
+def _sent(df: DataFrame, text: str, lang: str | None, keep: list[str]) -> tuple[DataFrame, int]:
+    """What goes to Python, and the place of the text in it: a hash of the text, the language, the kept columns as _2, _3, ..., and
+    the text only if it is none of these, as texts are most of the bytes."""
+    inner = [F.xxhash64(df[text].cast("string")).alias("_hash"), (df[lang].cast("string") if lang else F.lit(None).cast("string")).alias("_lang")]
+    inner += [df[c].alias(f"_{i + 2}") for i, c in enumerate(keep)]  # positions and not names, so that none can clash
+    if text in keep and df.schema[text].dataType == T.StringType():
+        return df.select(*inner), 2 + keep.index(text)
+    return df.select(*inner, df[text].cast("string").alias("_0")), len(inner)
+
+
 def _measured(df: DataFrame, rules: Rules, text: str, lang: str | None, keep: list[str]) -> DataFrame:
     """Stored rows: the kept columns as _2, _3, ..., a hash of the text, the language, and the METRICS."""
-    inner = [df[text].cast("string").alias("_0"), F.xxhash64(df[text].cast("string")).alias("_hash"), (df[lang].cast("string") if lang else F.lit(None).cast("string")).alias("_lang")]
-    inner += [df[c].alias(f"_{i + 2}") for i, c in enumerate(keep)]  # positions and not names, so that none can clash
-    narrow = df.select(*inner)
-    out = T.StructType([*narrow.schema.fields[1:], *(T.StructField(n, SPARK_TYPES[t]) for n, t in METRICS)])
+    narrow, at = _sent(df, text, lang, keep)
+    n = len(keep) + 2
+    out = T.StructType([*narrow.schema.fields[:n], *(T.StructField(n, SPARK_TYPES[t]) for n, t in METRICS)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         types = None
         for b in batches:
             if not b.num_rows:
                 continue
             types = types or Types(rules)
-            m = _metrics(b.column(0), types, rules)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(m.field(n) for n, _ in METRICS)], names=[f.name for f in out])
+            m = _metrics(b.column(at), types, rules)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(m.field(n) for n, _ in METRICS)], names=[f.name for f in out])
         release()
 
-    return Tables(df.sparkSession, "quality").put(narrow.mapInArrow(work, out))
+    with small_batches(df.sparkSession, rules.batch_bytes):
+        return Tables(df.sparkSession, "quality").put(narrow.mapInArrow(work, out))
 
 
 def _length() -> Column:

@@ -25,7 +25,6 @@ special-token strings within a text are encoded as the tokenizer file says; an e
 from __future__ import annotations
 
 import struct
-import threading
 import uuid
 import zlib
 from array import array
@@ -38,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, release, table
+from .common import kept, new_folder, release, rests, small_batches, table
 
 MAGIC = b"PTOK0001"
 HEADER = struct.Struct("<8Q")
@@ -53,6 +52,7 @@ class Params:
     types_kept: int = 700_000
     rest_s: float = 5.0
     chars_at_once: int = 2_500_000
+    batch_bytes: int = 8_000_000
     width: int = 2
 
     def file(self) -> str:
@@ -216,25 +216,9 @@ class Encoder:
         return self.encode_many([text])[0]
 
 
-_ENCODERS: dict[Params, Encoder] = {}
-_IDLE: list[threading.Timer] = []
-
-
 def encoder_of(params: Params) -> Encoder:
-    """The process's encoder: Spark reuses Python workers, so a worker's later tasks know the words of its earlier ones."""
-    while _IDLE:
-        _IDLE.pop().cancel()
-    if params not in _ENCODERS:
-        _ENCODERS[params] = Encoder(params)
-    return _ENCODERS[params]
-
-
-def encoder_rests(seconds: float) -> None:
-    """After a task: the encoder goes if no other task asks for it soon, so an idle worker holds no memory."""
-    timer = threading.Timer(seconds, _ENCODERS.clear)
-    timer.daemon = True
-    timer.start()
-    _IDLE.append(timer)
+    """The process's encoder: a worker's later tasks know the words of its earlier ones."""
+    return kept(params, lambda: Encoder(params))
 
 
 def _open(path: str):
@@ -300,7 +284,7 @@ def write_shards(docs: DataFrame, folder: str, params: Params = Params(), text:
             return
         path = f"{folder}/shard-{shard:06d}.tok"
         n, tokens = _write_shard((r for part in ([first], rows) for r in part), path, params, encoder_of(params))
-        encoder_rests(params.rest_s)
+        rests(params.rest_s)
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([path]), pa.array([n]), pa.array([tokens])], names=["shard", "path", "documents", "tokens"])
         release()
 
@@ -308,7 +292,9 @@ def write_shards(docs: DataFrame, folder: str, params: Params = Params(), text:
     text_of = docs[text].cast("string")
     rows = docs.select(docs[id_column].cast("bigint").alias("_id"), text_of.alias("_text"), F.xxhash64(text_of).alias("_hash"))
     dealt = rows.repartitionByRange(params.shards, "_id", "_hash") if params.shards else rows.repartitionByRange("_id", "_hash")
-    made = dealt.sortWithinPartitions("_id", "_hash", "_text").select("_id", "_text").mapInArrow(work, "shard bigint, path string, documents bigint, tokens bigint").collect()
+    ordered = dealt.sortWithinPartitions("_id", "_hash", "_text").select("_id", "_text")
+    with small_batches(docs.sparkSession, params.batch_bytes):
+        made = ordered.mapInArrow(work, "shard bigint, path string, documents bigint, tokens bigint").collect()
     return [(r["path"], r["documents"], r["tokens"]) for r in sorted(made, key=lambda r: r["shard"])]
 
 

@@ -1,11 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from provenant.llm import tokens
+from provenant.llm import common, tokens
 from provenant.llm.common import new_folder
 
 from .cases import DOCS, documents, frame, odd_columns
@@ -94,3 +95,30 @@ def test_damage_is_seen(spark):
 
 def test_empty(spark):
     assert tokens.encode_table(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_an_encoder_goes_when_the_worker_turns_to_something_else():
+    params = tokens.Params()
+    e = tokens.encoder_of(params)
+    assert tokens.encoder_of(params) is e
+    common.rests(3600)
+    common.let_go()
+    assert not common._KEPT and not common._IDLE
+    assert tokens.encoder_of(params) is not e
+    assert common.kept("other", dict) == {} and list(common._KEPT) == ["other"]
+    common.let_go()
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    df = spark.range(0, 600, 1, 1).selectExpr("repeat('x', 1000) as t")
+    before = spark.conf.get(common.BATCH_BYTES)
+    with common.small_batches(spark, 100_000):
+        rows = [r.n for r in df.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(rows) == 600 and max(rows) <= 110
+    assert spark.conf.get(common.BATCH_BYTES) == before
+    with common.small_batches(spark, 2**40):
+        assert spark.conf.get(common.BATCH_BYTES) == before
