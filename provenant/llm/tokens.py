@@ -11,8 +11,8 @@ and the position of every 256th one in 32 bits, so ``select`` reads a few words
 boundaries of a batch of documents at a time.
 
 Words between ASCII white space are encoded apart from one another, once per word form, and remembered up to a bound:
-this tokenizer's normaliser and pre-tokeniser never reach across white space, nor from an ASCII letter into the marks that
-end a word, so the ids are those of the whole text (tested against it).
+this tokenizer's normaliser and pre-tokeniser never reach across white space, nor from a letter of ASCII or Latin-1 into the marks
+that end a word, so the ids are those of the whole text (tested against it).
 
 A task writes its shard under a name of its own and renames it, with the same bytes whenever it runs again, so a lost
 executor costs a rerun and leaves no half file behind. Files go to the shared folder through pyarrow's file systems.
@@ -24,13 +24,14 @@ special-token strings within a text are encoded as the tokenizer file says; an e
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,14 @@ class EliasFano:
 #: ASCII marks that end a word: after an ASCII letter or digit the pre-tokeniser cuts before a run of them.
 _MARKS = b'.,!?;:"%*$&#()[]{}-+=/@~^_`'
 _BEFORE = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: UTF-8 of words of a-z and the small letters of Latin-1: lower case, composed, letters all.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_SMALL = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+
+
+def _spelled(words: list[bytes]) -> list[str]:
+    """Such words in the letters that stand for their bytes in a byte-level vocabulary: Latin-1's, but for three bytes."""
+    return b" ".join(words).decode("latin-1").replace("\x9f", "\u0141").replace("\xa0", "\u0142").replace("\xad", "\u0143").split(" ")
 
 
 class Encoder:
@@ -157,6 +166,10 @@ class Encoder:
         if not suffix:
             raise ValueError("the vocabulary does not mark the ends of words")
         self.ends_word = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)), bool, size)
+        small = [_SMALL, *(a + b for a, b in zip(_SMALL, _SMALL[::-1]))]
+        coded = self.model.encode(_spelled([w.encode() for w in small]), is_pretokenized=True, add_special_tokens=False).ids
+        same = coded == [i for w in small for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        self.letters = _LETTERS.fullmatch if same else bytes.isalpha  # another vocabulary may not be byte-level
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.kind = f"<u{params.width}"
@@ -165,10 +178,11 @@ class Encoder:
             raise ValueError("the vocabulary needs a greater id width")
 
     def _plain(self, words: list[bytes]) -> Iterator[bytes]:
-        """Ids of words of a-z alone: already normalised and one pre-token each, so the model gets them as they are, many
-        to a call. Each word's last id, and no other, has the end-of-word suffix."""
+        """Ids of words of letters alone: already normalised and one pre-token each, so the model gets them as they are, many
+        to a call, without offsets. Each word's last id, and no other, has the end-of-word suffix."""
         for at in range(0, len(words), 5000):
-            ids = np.array(self.model.encode([w.decode() for w in words[at:at + 5000]], is_pretokenized=True, add_special_tokens=False).ids, self.kind)
+            spelled = _spelled(words[at:at + 5000])
+            ids = np.array(self.model.encode_batch_fast([spelled], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
             raw, start = ids.tobytes(), 0
             for end in ((np.flatnonzero(self.ends_word[ids]) + 1) * self.params.width).tolist():
                 yield raw[start:end]
@@ -179,38 +193,61 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[at:at + 5000]], add_special_tokens=False):
                 yield np.array(e.ids, self.kind).tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Makes the younger generation hold all these words.
+    def _learn(self, new: set[bytes]) -> None:
+        """Makes the younger generation hold these words, which it lacks.
 
         A word is a core and the marks after it, in the lower case that the normaliser gives ASCII letters; the ids of the
         two together are those of the word. What might hold a special token stays as it is."""
         young, old = self.young, self.old
-        new = words.difference(young)
-        young.update([(w, old[w]) for w in new if w in old])
-        fresh = list(new.difference(young))
-        low = [w.lower() if b"<|" not in w else w for w in fresh]
-        cores = [x.rstrip(_MARKS) if b"<|" not in x else x for x in low]
-        cores = [c if c and c[-1] in _BEFORE else x for c, x in zip(cores, low)]
-        marks = [x[len(c):] for c, x in zip(cores, low)]
+        if old:
+            back = {w: old[w] for w in new if w in old}
+            young.update(back)
+            new.difference_update(back)
+        if not new:
+            return
+        fresh = list(new)
+        joined = b" ".join(fresh)
+        if b"<|" in joined:
+            low = [w.lower() if b"<|" not in w else w for w in fresh]
+        else:
+            low = joined.lower().split(b" ")
+        cores = [x if x.isalpha() else self._core(x) for x in low]
+        marks = [x[len(c):] for x, c in zip(low, cores)]
         wanted = set(cores)
         wanted.update(marks)
-        known = {c: young.get(c) or old.get(c) for c in wanted if c in young or c in old}
-        known[b""] = b""
+        wanted.discard(b"")
+        known = {b"": b""}
+        for c in wanted.difference(new):  # what is new is in neither generation
+            ids = young.get(c) or old.get(c)
+            if ids:
+                known[c] = ids
         wanted.difference_update(known)
-        plain = [c for c in wanted if c.isalpha()]  # of bytes: a-z alone, as all is lower case but special tokens
+        plain = [c for c in wanted if self.letters(c)]
         other = list(wanted.difference(plain))
         known.update(zip(plain, self._plain(plain)))
         known.update(zip(other, self._other(other)))
         young.update((w, known[c] + known[m]) for w, c, m in zip(fresh, cores, marks))
 
+    def _core(self, word: bytes) -> bytes:
+        """The word without the marks after it, if they are cut off there for certain."""
+        if b"<|" in word:
+            return word
+        core = word.rstrip(_MARKS)
+        return core if core and (core[-1] in _BEFORE or self.letters(core)) else word
+
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text and the end id."""
         if len(self.young) > self.params.types_kept:
             self.young, self.old = {}, self.young
         split = [t.split() for t in texts]
-        self._learn(set(chain.from_iterable(split)))
-        found = self.young.__getitem__
-        return [b"".join(map(found, ws)) + self.end for ws in split]
+        words = split[0] if len(split) == 1 else list(chain.from_iterable(split))
+        found = list(map(self.young.get, words))
+        if holes := [i for i, ids in enumerate(found) if ids is None]:
+            self._learn({words[i] for i in holes})
+            for i in holes:
+                found[i] = self.young[words[i]]
+        ends = [0, *accumulate(map(len, split))]
+        return [b"".join(found[a:b]) + self.end for a, b in pairwise(ends)]
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_many([text])[0]

@@ -97,6 +97,23 @@ def test_empty(spark):
     assert tokens.encode_table(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("abzA\u00c9\u00dc\u00df\u00e0\u00e9\u00ed\u00f1\u00f6\u00f7\u00d7\u00ff\u0301'.,&<|9", min_size=1, max_size=8), max_size=12))
+def test_small_letters_of_latin_1_give_the_ids_of_the_whole(words):
+    text = " ".join(words)
+    e = tokens.Encoder(tokens.Params(types_kept=3))
+    for _ in range(2):
+        assert np.frombuffer(e.encode(text.encode()), "<u2").tolist() == whole(text)
+
+
+def test_words_of_letters_go_to_the_model_itself():
+    e, other = tokens.Encoder(tokens.Params()), []
+    e._other = lambda words, own=e._other: (other.extend(words), own(words))[1]
+    words = ["garçon", "für", "straße", "mañana,", "à", "él.", "aquí", "ÿ", "Plain", "x÷y", "œuf", "e\u0301t"]
+    assert np.frombuffer(e.encode(" ".join(words).encode()), "<u2").tolist() == whole(" ".join(words))
+    assert sorted(w.decode() for w in other) == sorted([",", ".", "x÷y", "œuf", "e\u0301t"])
+
+
 def test_an_encoder_goes_when_the_worker_turns_to_something_else():
     params = tokens.Params()
     e = tokens.encoder_of(params)
